@@ -117,7 +117,11 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Counts and digest columns of contract op8."""
     found = with_spans(df.select(id_col, text_col), text_col)
     found = found.select(id_col, F.col("__spans"), F.filter("__spans", lambda s: s["rank"] < len(BASE)).alias("__base"))
-    counts = [F.size(F.filter("__base", lambda s, k=i: s["rank"] == k)).cast("bigint").alias(f"n_{kind}") for i, kind in enumerate(BASE)]
+
+    def of_kind(rank: int) -> Column:
+        return F.filter("__base", lambda s: s["rank"] == rank)
+
+    counts = [F.size(of_kind(i)).cast("bigint").alias(f"n_{kind}") for i, kind in enumerate(BASE)]
     return found.select(id_col, *counts, F.sha2(_joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("__spans")).alias("spans"))
 
 
