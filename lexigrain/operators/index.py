@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import shared_dir
 
 
 def documents_with_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,8 +107,10 @@ def range_dictionary(docs: DataFrame, parts: int, id_col: str = "doc_id", text_c
 
 
 def with_ids(files: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """Number rows from ``start`` in the given order: positions within range partitions plus the sizes of earlier ones."""
-    ranged = files.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """Number rows from ``start`` in the given order: positions within range partitions plus the sizes of earlier ones.
+    The partitions are written to the shared folder first, as ranges drawn anew could differ."""
+    shared_dir(files.sparkSession)
+    ranged = files.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
     own = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = ranged.groupBy("_p").count()
     before = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_b"))

@@ -31,12 +31,10 @@ def read_texts(spark: SparkSession, paths: Sequence[str], extension: str | None
         print(f"{p} doesn't exist", file=sys.stderr)
     parts = []
     if folders := [p for p, kind in kinds.items() if kind == "dir"]:
-        reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
-        if extension:
-            reader = reader.option("pathGlobFilter", f"*.{extension.lstrip('.')}")
-        parts.append(reader.text(folders).select(F.lit(0).alias("_set"), F.input_file_name().alias("path"), F.col("value").alias("text")))
+        suffix = f"*.{extension.lstrip('.')}" if extension else None
+        parts.append(spark.read.text(folders, wholetext=True, pathGlobFilter=suffix, recursiveFileLookup=recursive).select(F.lit(0).alias("_set"), F.input_file_name().alias("path"), F.col("value").alias("text")))
     if files := [p for p, kind in kinds.items() if kind == "file"]:
-        parts.append(spark.read.option("wholetext", True).text(files).select(F.lit(1).alias("_set"), F.input_file_name().alias("path"), F.col("value").alias("text")))
+        parts.append(spark.read.text(files, wholetext=True).select(F.lit(1).alias("_set"), F.input_file_name().alias("path"), F.col("value").alias("text")))
     if not parts:
         return spark.createDataFrame([], "doc_id long, path string, text string")
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
