@@ -56,4 +56,30 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_sharding, op4_warc, op5_packing, op6_language_id, op7_simhash, op8_pii, op9_toxicity, op10_media)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def embeddings_sql(threshold: float = 0.98) -> str:
+    return f"""WITH RECURSIVE v AS (SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {threshold}),
+r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT l.w, r.c FROM r JOIN l ON r.id = l.u),
+k AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, coalesce(id = c, false) AS kept FROM k LEFT JOIN n ON u = id"""
+
+
+def shards_sql(limit: int = sharding.LIMIT) -> str:
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS doc_bytes,
+CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+w AS (SELECT doc_id, doc_bytes, h, 0 AS depth, sum(doc_bytes) OVER () AS b, count(*) OVER () AS n FROM d
+UNION ALL SELECT doc_id, doc_bytes, h, depth + 1, sum(doc_bytes) OVER (PARTITION BY h >> (59 - depth)), count(*) OVER (PARTITION BY h >> (59 - depth)) FROM w WHERE b > {limit} AND n > 1 AND depth < 60)
+SELECT doc_id, doc_bytes, substr(lpad(bin(h), 60, '0'), 1, depth) AS shard_id, depth, CAST(b AS BIGINT) AS shard_bytes, n AS shard_docs FROM w WHERE b <= {limit} OR n = 1"""
+
+
+WARC_SQL = f"""WITH q AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT s, min(page_id) AS first FROM q WHERE n >= {warc.MIN_BYTES} GROUP BY s)
+SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN first <> page_id THEN first END AS refers_to FROM q LEFT JOIN f USING (s)"""
+
+#: Token ids, hashes, classifiers, media and lookaround patterns can't be expressed; tests hold those to brute force.
+ORACLE_SQL = {"op2_embedding_dedup": embeddings_sql(), "op3_sharding": shards_sql(), "op4_warc": WARC_SQL}

@@ -131,21 +131,37 @@ def near_links(fps: DataFrame, bits: int = 4, list_rows: int = LIST_ROWS) -> Dat
 
 
 def document_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp) with the fingerprint's 64 bits as a signed long."""
+    """All columns but the text, and the fingerprint's 64 bits as a signed long in fp."""
     bounded_batches(df.sparkSession)
 
     def start():
         return lambda texts: {"fp": pa.array(fingerprints([(t or "").encode() for t in texts], words, seed).view(np.int64))}
 
-    return df.select(id_col, text_udf("struct<fp: bigint>", start)(text_col).alias("_r")).select(id_col, F.col("_r.fp").alias("fp"))
+    others = [c for c in df.columns if c != text_col]
+    return df.select(*others, text_udf("struct<fp: bigint>", start)(text_col).alias("_r")).select(*others, F.col("_r.fp").alias("fp"))
+
+
+def fingerprint_components(docs: DataFrame, bits: int = 4, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(fp, component) of every distinct fp; component is the smallest fp reachable."""
+    distinct = checkpoint(docs.select("fp").distinct())
+    parts = connected_components(near_links(distinct, bits, list_rows))
+    return distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, seed: int = 42, list_rows: int = LIST_ROWS) -> DataFrame:
     """(id, fingerprint, component_id) of every row."""
-    docs = checkpoint(document_fingerprints(df, id_col, text_col, words, seed))
-    first = checkpoint(docs.groupBy("fp").agg(F.min(id_col).alias("first")))
-    parts = connected_components(near_links(first.select("fp"), bits, list_rows))
-    joined = first.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    docs = checkpoint(document_fingerprints(df.select(id_col, text_col), id_col, text_col, words, seed))
+    joined = fingerprint_components(docs, bits, list_rows).join(docs.groupBy("fp").agg(F.min(id_col).alias("first")), "fp")
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     named = joined.join(smallest, "component").select("fp", "component_id")
     return docs.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: the one with the smallest id, null ids last, and of
+    rows that repeat it the first. ``df`` must give its rows in the same partitions each time, as stored tables do."""
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    docs = checkpoint(document_fingerprints(numbered.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__row"), "id", "text", words, seed))
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("__row").alias("row"))
+    kept = docs.join(fingerprint_components(docs, bits), "fp").groupBy("component").agg(F.min(order).alias("_o")).select(F.col("_o.row").alias("__row"))
+    return numbered.join(kept, "__row", "left_semi").drop("__row")

@@ -1,0 +1,54 @@
+import pytest
+from oracle import SF, difference
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lexigrain.llm import langid, pii, sharding, simhash, toxicity
+from lexigrain.llm.common import table
+from lexigrain.llm.queries import ORACLE_SQL, QUERIES, shards_sql
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    assert difference(spark, QUERIES[name], ORACLE_SQL[name], SF) == ""
+
+
+@pytest.mark.parametrize("limit", [20_000, 300_000])
+def test_sharding_equals_its_sql(spark, limit):
+    assert difference(spark, lambda s, d: sharding.shards(table(s, d, "documents"), limit), shards_sql(limit), SF) == ""
+
+
+def test_pipeline(spark, tmp_path):
+    assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["language", "toxic", "near_duplicates", "personal_data", "pack"]
+    docs, kinds = table(spark, SF, "documents"), None
+    after = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert docs.columns == before.columns and [t for _, t in docs.dtypes] == [t for _, t in before.dtypes]
+        after[name] = (before, docs)
+    before, kept = after["language"]
+    und = langid.identify(before).filter("lang_pred = 'und'").count()
+    assert kept.count() == before.count() - und
+    before, kept = after["toxicity"]
+    assert kept.count() == before.count() - toxicity.classify(before, table(spark, SF, "labels")).filter("toxic").count() < before.count()
+    before, kept = after["near_duplicates"]
+    assert kept.count() == simhash.near_duplicates(before).select("component_id").distinct().count() < before.count()
+    before, kept = after["personal_data"]
+    assert kept.count() == before.count()
+    spans = pii.find(before).withColumn("n", F.size("spans"))
+    changed = kept.join(before.select("doc_id", F.col("text").alias("old")), "doc_id").filter("text != old")
+    assert changed.count() == spans.filter("n > 0").count() > 0
+    assert kept.filter(F.length("text") != F.col("n_chars")).count() == 0
+    _, packed = after["packing"]
+    assert packed.select("doc_id").distinct().count() == kept.count()
+    assert sorted(corpus_pipeline.run(spark, SF).select("doc_id", "start", "ids_crc32").collect()) == sorted(packed.select("doc_id", "start", "ids_crc32").collect())
+
+
+def test_near_duplicate_stage_with_repeated_and_null_rows(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (3, "q w e r t"), (None, "zz yy xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "3", "None"]
