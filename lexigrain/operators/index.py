@@ -117,6 +117,9 @@ def with_ids(files: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     return own.join(F.broadcast(before), "_p").withColumn("doc_id", (F.col("_b") + F.col("_i") - 1 + start).cast("bigint")).drop("_p", "_i", "_b")
 
 
+POSTINGS = "term string, doc_id long, tf long, zones int, positions array<int>"
+
+
 class Index:
     """Documents and their postings, computed on demand or read from a saved folder."""
 
@@ -139,13 +142,29 @@ class Index:
             return self.saved.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
         return vocabulary(self.documents)
 
-    def save(self, path: str, parts: int | None = None, mode: str = "errorifexists") -> None:
-        """Write documents and postings; postings in ``parts`` ranges of terms (as many as shuffle partitions if None)."""
+    def save(self, path: str, parts: int | None = None, mode: str = "errorifexists", kind: str = "parquet") -> None:
+        """Write documents and postings; postings in ``parts`` ranges of terms (as many as shuffle partitions if None).
+        ``kind`` is parquet, which lookups prune, or json for exchange."""
         parts = parts or int(self.documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.documents.write.mode(mode).parquet(f"{path}/documents")
+        self.documents.write.mode(mode).format(kind).save(f"{path}/documents")
         ranged = self.postings().repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
-        ranged.write.mode(mode).parquet(f"{path}/postings")
+        ranged.write.mode(mode).format(kind).save(f"{path}/postings")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings"))
+    def load(cls, spark: SparkSession, path: str, kind: str = "parquet") -> Index:
+        reader = spark.read.format(kind)
+        if kind == "json":  # nothing is inferred
+            return cls(reader.schema("doc_id long, text string").load(f"{path}/documents"), reader.schema(POSTINGS).load(f"{path}/postings"))
+        return cls(reader.load(f"{path}/documents"), reader.load(f"{path}/postings"))
+
+    def without(self, removed: DataFrame) -> Index:
+        """The index without the documents whose doc_id ``removed`` has; ids aren't given out anew."""
+        ids = removed.select("doc_id")
+        saved = self.saved.join(ids, "doc_id", "left_anti") if self.saved is not None else None
+        return Index(self.documents.join(ids, "doc_id", "left_anti"), saved)
+
+    @staticmethod
+    def manifest(spark: SparkSession, path: str) -> DataFrame:
+        """(file, first_term, last_term, rows) of a saved index's ranges."""
+        held = spark.read.parquet(f"{path}/postings").select("term", F.input_file_name().alias("file"))
+        return held.groupBy("file").agg(F.min("term").alias("first_term"), F.max("term").alias("last_term"), F.count("*").alias("rows"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import index as I
 from .operators import phrase, rank, vectors, wildcard
+from .operators.sets import DocSet
 from .plans import planner
 from .session import shared_dir, ship
 from .sources import books
@@ -128,6 +129,26 @@ def _append_index(spark, sf):
     return I.Index.load(spark, path).vocabulary()
 
 
+@register("json_index", f"WITH {VOC} SELECT term, df, cf FROM voc")
+def _json_index(spark, sf):
+    path = scratch(spark)
+    I.Index.of(documents(spark, sf)).save(path, kind="json")
+    return I.Index.load(spark, path, kind="json").vocabulary()
+
+
+@register("index_manifest", f"WITH {VOC} SELECT min(term) AS first_term, max(term) AS last_term, count(*) AS rows FROM tf")
+def _index_manifest(spark, sf):
+    path = scratch(spark)
+    I.Index.of(documents(spark, sf)).save(path)
+    return I.Index.manifest(spark, path).agg(F.min("first_term").alias("first_term"), F.max("last_term").alias("last_term"), F.sum("rows").alias("rows"))
+
+
+@register("deregister", f"WITH {VOC}, k AS (SELECT term, doc_id FROM tf WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT term, count(*) AS df FROM k GROUP BY term")
+def _deregister(spark, sf):
+    toxic = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1")
+    return I.Index.of(documents(spark, sf)).without(toxic).vocabulary().select("term", "df")
+
+
 # -- lookups and the boolean language ----------------------------------------------------------------------------------
 
 _HAS = "list_contains(w, '{}')"
@@ -170,6 +191,19 @@ def _index_search_complement(spark, sf):
     return planner.search("!(the & of)", I.Index.load(spark, path))
 
 
+@register("search_with_metadata", f"WITH {W} SELECT doc_id, lang, source FROM d JOIN documents USING (doc_id) WHERE list_contains(w, 'und') AND list_contains(w, 'der')")
+def _search_with_metadata(spark, sf):
+    docs = documents(spark, sf)
+    return planner.scan("und & der", docs).join(docs.select("doc_id", "lang", "source"), "doc_id")
+
+
+@register("set_algebra", _sql("({the} OR {of}) AND NOT {and}"))
+def _set_algebra(spark, sf):
+    docs = documents(spark, sf)
+    one = {w: DocSet(planner.scan(w, docs)) for w in ("the", "of", "and")}
+    return ((one["the"] | one["of"]) & ~one["and"]).within(docs)
+
+
 # -- phrases -----------------------------------------------------------------------------------------------------------
 
 
@@ -317,6 +351,11 @@ def _bm25_topk(spark, sf):
     return rank.bm25(documents(spark, sf), "und anat der", "skip", limit=10).withColumn("rating", F.round("rating", 6))
 
 
+@register("bm25_boolean", _bm25_sql(["und", "der"], "skip").replace("FROM r WHERE", "FROM r WHERE doc_id NOT IN (SELECT doc_id FROM tok WHERE term = 'anat') AND"))
+def _bm25_boolean(spark, sf):
+    return rank.bm25_search("und der & !anat", documents(spark, sf)).select("doc_id", F.round("rating", 6).alias("rating"))
+
+
 # -- vectors -----------------------------------------------------------------------------------------------------------
 
 VEC = VOC + ", x AS (SELECT doc_id, term, tf * ln((SELECT count(*) FROM documents) / df) AS w FROM tf JOIN voc USING (term)), nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc_id)"

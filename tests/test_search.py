@@ -238,3 +238,19 @@ def test_books(spark):
     page = spark.createDataFrame([(1, "<html><title>T &</title><script>no</script><p>yes</p>"), (2, None)], "page_id long, html string")
     z = {r.doc_id: r for r in books.page_zones(page).collect()}
     assert z[1].title == "T &" and z[1].body.split() == ["yes"] and z[2].title == ""
+
+
+def test_json_manifest_and_removal(spark, docs, tmp_path):
+    index = I.Index.of(docs)
+    index.save(str(tmp_path / "j"), kind="json")
+    index.save(str(tmp_path / "p"), parts=3)
+    back = I.Index.load(spark, str(tmp_path / "j"), kind="json")
+    key = lambda df: sorted(tuple(r) for r in df.select("term", "doc_id", "tf", "zones", F.col("positions").cast("string")).collect())
+    assert key(back.postings()) == key(index.postings())
+    assert ids(planner.search("!hello", back)) == QUERIES["!hello"]
+    ranges = I.Index.manifest(spark, str(tmp_path / "p")).orderBy("first_term").collect()
+    assert sum(r.rows for r in ranges) == index.postings().count()
+    assert all(a.last_term <= b.first_term for a, b in zip(ranges, ranges[1:]))
+    gone = spark.createDataFrame([(0,), (8,)], "doc_id long")
+    for left in (index.without(gone), back.without(gone)):
+        assert ids(planner.search("hello", left)) == [2] and 0 not in ids(planner.search("!zzz", left))
