@@ -33,7 +33,7 @@ from .common import bounded_batches, text_udf
 #: Bounds of the fit: labelled documents, features of a category; folds; documents a feature must be in.
 SAMPLE, FEATURES, FOLDS, LEAST = 8000, 1500, 5, 5
 PREFIXES = (4, 5, 6)
-THRESHOLD = 0.5
+THRESHOLD = 0.25
 CATEGORIES = ("low_quality", "toxic")
 #: Counted features held by a task before they are emitted.
 HELD = 300_000
@@ -78,7 +78,7 @@ class Selected:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 150) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 400) -> np.ndarray:
     """Weights, intercept last, by accelerated gradient descent."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
     v = np.ones(x.shape[1], np.float32)
