@@ -21,6 +21,7 @@ table gives an empty result; columns other than id, vector and label are not rea
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ LIST_ROWS, LIST_AIM = 2048, 256
 BLOCK = 512
 
 
+@lru_cache(maxsize=4)
 def rotations(dim: int, count: int, seed: int = 7) -> np.ndarray:
     """(count * dim, dim): random orthogonal matrices, stacked."""
     rng = np.random.default_rng([seed, dim])
