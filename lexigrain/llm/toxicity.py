@@ -78,50 +78,69 @@ class Selected:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 400) -> np.ndarray:
-    """Weights, intercept last, by accelerated gradient descent."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
-    v = np.ones(x.shape[1], np.float32)
-    for _ in range(12):
-        v = x.T @ (x @ v)
+def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, n: int, ridge: float = 0.05, steps: int = 200) -> np.ndarray:
+    """Weights of ``n`` inputs, intercept last, by accelerated gradient descent over the non-zero inputs (row, column, value).
+    Inputs are scaled to one length, so that rare features move as fast as common ones."""
+    m = len(y)
+    rows, columns = np.concatenate([rows, np.arange(m)]), np.concatenate([columns, np.full(m, n)])
+    values = np.concatenate([values, np.ones(m)])
+    scale = 1 / np.sqrt(np.maximum(np.bincount(columns, values**2, n + 1), 1.0))
+    values = values * scale[columns]
+    times = lambda w: np.bincount(rows, values * w[columns], m)
+    back = lambda g: np.bincount(columns, values * g[rows], n + 1)
+    v = np.ones(n + 1)
+    for _ in range(15):
+        v = back(times(v))
         v /= np.linalg.norm(v)
-    rate = 1 / (0.25 * float(v @ (x.T @ (x @ v))) + ridge)
-    w = look = np.zeros(x.shape[1], np.float32)
+    pull = ridge * scale**2
+    pull[-1] = 0
+    rate = 1 / (0.27 * float(v @ back(times(v))) + pull.max())
+    w = look = np.zeros(n + 1)
     for t in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ look, -30, 30)))
-        g = x.T @ (p - y) + ridge * look
-        g[-1] -= ridge * look[-1]
-        new = look - np.float32(rate) * g
+        p = 1 / (1 + np.exp(-np.clip(times(look), -30, 30)))
+        new = look - rate * (back(p - y) + pull * look)
         look, w = new + (t / (t + 3)) * (new - w), new
-    return w
+    return w * scale
 
 
-def fit_chain(places: list[list[int]], n: int, labels: dict[str, np.ndarray], own: dict[str, np.ndarray], priors: dict[str, float], folds: np.ndarray) -> dict[str, np.ndarray]:
+def fit_chain(places: list[list[int]], labels: dict[str, np.ndarray], own: dict[str, np.ndarray], priors: dict[str, float], folds: np.ndarray) -> dict[str, np.ndarray]:
     """Weights of each category in turn: its own features, earlier categories' log-odds, intercept. Labels are 0, 1 or -1."""
-    x = np.zeros((len(places), n), np.float32)
-    for i, p in enumerate(places):
-        x[i, p] = 1
-    earlier, models = np.zeros((len(places), 0), np.float32), {}
+    rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    columns = np.array([c for p in places for c in p], np.int64)
+    size = int(columns.max(initial=-1)) + 1
+    earlier, models = np.zeros((len(places), 0)), {}
     for name, y in labels.items():
         have = y >= 0
-        inputs = np.concatenate([x[:, own[name]], earlier], 1)
-        odds = np.zeros(len(places), np.float32)
+        n = len(own[name])
+        place = np.full(max([size, *(own[name] + 1)]), -1, np.int64)
+        place[own[name]] = np.arange(n)
+        mine = place[columns] >= 0
+        r = np.concatenate([rows[mine], np.repeat(np.arange(len(places)), earlier.shape[1])])
+        c = np.concatenate([place[columns[mine]], np.tile(n + np.arange(earlier.shape[1]), len(places))])
+        x = np.concatenate([np.ones(mine.sum()), earlier.ravel()])
+        n += earlier.shape[1]
+
+        def fit(some: np.ndarray) -> np.ndarray:
+            at = np.cumsum(some) - 1
+            k = some[r]
+            return logistic(at[r[k]], c[k], x[k], y[some].astype(float), n)
+
+        odds = np.full(len(places), -30.0)
         if have.any() and 0 < y[have].mean() < 1:
             mean = float(y[have].mean())
             shift = math.log(priors[name] / (1 - priors[name])) - math.log(mean / (1 - mean)) if 0 < priors[name] < 1 else 0.0
-            for k in range(FOLDS):
-                train = have & (folds != k)
-                if 0 < y[train].mean() < 1 if train.any() else False:
-                    w = logistic(inputs[train], y[train])
-                    odds[folds == k] = inputs[folds == k] @ w[:-1] + w[-1] + shift
-            models[name] = logistic(inputs[have], y[have])
+            models[name] = fit(have)
             models[name][-1] += shift
+            for k in range(FOLDS) if name != list(labels)[-1] else ():  # nothing follows the last
+                train = have & (folds != k)
+                w = fit(train) if train.any() and 0 < y[train].mean() < 1 else np.zeros(n + 1)
+                score = np.bincount(r, x * w[c], len(places)) + w[-1] + shift
+                odds[folds == k] = score[folds == k]
         else:
-            models[name] = np.zeros(inputs.shape[1] + 1, np.float32)
+            models[name] = np.zeros(n + 1)
             models[name][-1] = -30
-            odds[:] = -30
         earlier = np.concatenate([earlier, np.clip(odds, -5, 5)[:, None] / 5], 1)
-    return models
+    return {k: w.astype(np.float32) for k, w in models.items()}
 
 
 class Chain:
@@ -214,7 +233,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = rows.mapInArrow(locate, f"id string, low_quality {kinds['low_quality']}, toxic {kinds['toxic']}, places array<int>").toArrow().sort_by("id")
     y = {c: np.array([-1 if v is None else v for v in got.column(c).to_pylist()], np.int64) for c in CATEGORIES}
     folds = np.arange(got.num_rows) % FOLDS
-    return Chain(names, own, fit_chain(got.column("places").to_pylist(), len(names), y, own, priors, folds))
+    return Chain(names, own, fit_chain(got.column("places").to_pylist(), y, own, priors, folds))
 
 
 def predictor(chain: Chain, threshold: float = THRESHOLD):
