@@ -28,7 +28,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
 }
 #: What a text must contain for a kind to be searched at all.
 NEEDED = {
@@ -72,6 +72,14 @@ def confirmed(kind: str, m: Column) -> Column:
     return mod97(m) if kind == "iban" else F.lit(True)
 
 
+def touches(gaps: Column, i: Column) -> Column:
+    """Whether match ``i``, between gaps ``i`` and ``i`` + 1, has a letter or digit next to it; another match counts as one."""
+    before, after = F.get(gaps, i), F.get(gaps, i + 1)
+    left = F.when(F.length(before) > 0, F.rlike(F.right(before, F.lit(1)), F.lit("[A-Za-z0-9]"))).otherwise(i > 0)
+    right = F.when(F.length(after) > 0, F.rlike(F.left(after, F.lit(1)), F.lit("[A-Za-z0-9]"))).otherwise(i + 2 < F.size(gaps))
+    return left | right
+
+
 def _spans(kind: str, matches: Column, gaps: Column) -> Column:
     """Confirmed spans of a kind from its matches and the gaps around them."""
     rank = F.lit(KINDS.index(kind))
@@ -83,7 +91,7 @@ def _spans(kind: str, matches: Column, gaps: Column) -> Column:
         end = start + F.length(m)
         score = F.lit(SCORES[kind]) + F.when(F.rlike(F.lower(F.right(gap, F.lit(CONTEXT))), F.lit(WORDS[kind])), CONTEXT_SCORE).otherwise(0.0)
         one = F.array(F.struct(start.alias("start"), rank.alias("rank"), end.alias("end"), score.alias("score"))).cast(SPAN)
-        good = confirmed(kind, m) if kind in BASE else confirmed(kind, m) & (score >= ADDED_SCORE)
+        good = confirmed(kind, m) if kind in BASE else confirmed(kind, m) & ~touches(gaps, acc["i"]) & (score >= ADDED_SCORE)
         return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(matches, begin, step, lambda acc: acc["out"])

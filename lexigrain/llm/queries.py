@@ -81,5 +81,33 @@ f AS (SELECT s, min(page_id) AS first FROM q WHERE n >= {warc.MIN_BYTES} GROUP B
 SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN first <> page_id THEN first END AS refers_to FROM q LEFT JOIN f USING (s)"""
 
-#: Token ids, hashes, classifiers, media and lookaround patterns can't be expressed; tests hold those to brute force.
-ORACLE_SQL = {"op2_embedding_dedup": embeddings_sql(), "op3_sharding": shards_sql(), "op4_warc": WARC_SQL}
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(x, '.'), lambda v: length(ltrim(v, '0')) > 3 OR coalesce(TRY_CAST(ltrim(v, '0') AS INT), 0) > 255)) = 0"),
+    "card": (r"[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: (CAST(substr(reverse({_DIGITS}), k, 1) AS INT) * (2 - k % 2) // 10) + (CAST(substr(reverse({_DIGITS}), k, 1) AS INT) * (2 - k % 2) % 10))) % 10 = 0"),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+    "iban": (
+        r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+        "NOT regexp_matches(right(g, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(a, 1), '[A-Za-z0-9]') AND NOT (g = '' AND i > 1) AND NOT (a = '' AND i < n) AND "
+        "list_reduce(list_transform(string_split(substr(replace(x, ' ', ''), 5) || substr(replace(x, ' ', ''), 1, 4), ''), lambda c: coalesce(TRY_CAST(c AS INT), ascii(c) - 55)), lambda z, v: (z * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1",
+    ),
+}
+
+
+def _pii_sql() -> str:
+    found = " UNION ALL ".join(
+        f"SELECT r, {k} AS rank, '{kind}' AS kind, e - length(x) AS s, e FROM (SELECT *, CAST(sum(length(g) + length(x)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS e "
+        f"FROM (SELECT r, unnest(m) AS x, unnest(q[1:len(m)]) AS g, unnest(q[2:]) AS a, generate_subscripts(m, 1) AS i, len(m) AS n FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS q FROM t) WHERE len(m) > 0)) WHERE {good}"
+        for k, (kind, (pattern, good)) in enumerate(_PII.items())
+    )
+    text = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank){}, '')"
+    counts = ", ".join(f"count(*) FILTER (WHERE rank = {k}) AS n_{kind}" for k, kind in enumerate(pii.BASE))
+    return (
+        f"WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}) "
+        f"SELECT doc_id, {counts}, sha256({text.format(' FILTER (WHERE rank < 4)')}) AS base_sha256, {text.format('')} AS spans FROM t LEFT JOIN f USING (r) GROUP BY r, doc_id"
+    )
+
+
+#: Token ids, hashes, classifiers and media can't be expressed; tests hold those to brute force.
+ORACLE_SQL = {"op2_embedding_dedup": embeddings_sql(), "op3_sharding": shards_sql(), "op4_warc": WARC_SQL, "op8_pii": _pii_sql()}

@@ -408,6 +408,16 @@ def test_personal_data(spark):
     assert pii.digests(df.limit(0)).count() == 0 and pii.redact(df).columns == df.columns
 
 
+def test_personal_data_sql_on_odd_texts(spark, tmp_path):
+    from oracle import difference
+
+    from lexigrain.llm.queries import ORACLE_SQL, op8_pii
+
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(pii_texts())], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert difference(spark, op8_pii, ORACLE_SQL["op8_pii"], str(tmp_path)) == ""
+
+
 def test_personal_data_context_and_mod97(spark):
     rows = [(0, "iban GB82 WEST 1234 5698 7654 32."), (1, "GB83 WEST 1234 5698 7654 32"), (2, "call +1 555 123 4567"), (3, "so +1 555 123 4567")]
     got = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
