@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, text_udf
 
-#: Bounds of the fit: labelled documents, features of a category; folds; documents a feature must be in.
-SAMPLE, FEATURES, FOLDS, LEAST = 8000, 1500, 5, 5
+#: Bounds of the fit: labelled documents, features of a category; folds; documents a feature must be in, and its least gain
+#: in log-likelihood, which chance alone rarely reaches among all words.
+SAMPLE, FEATURES, FOLDS, LEAST, GAIN = 8000, 1500, 5, 5, 8
 PREFIXES = (4, 5, 6)
-THRESHOLD = 0.25
+THRESHOLD = 0.3
 CATEGORIES = ("low_quality", "toxic")
 #: Counted features held by a task before they are emitted.
 HELD = 300_000
@@ -216,7 +217,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             continue
         a, b = F.col(f"{k}1") + 0.5, F.col(f"{k}0") + 0.5
         gain = (a * F.log(a * (n0 + n1) / ((a + b) * n1)) + b * F.log(b * (n0 + n1) / ((a + b) * n0))).alias("gain")
-        top = counts.filter("feature != ''").select("feature", gain).filter("gain > 4").orderBy(F.desc("gain"), "feature").limit(FEATURES)
+        top = counts.filter("feature != ''").select("feature", gain).filter(f"gain > {GAIN}").orderBy(F.desc("gain"), "feature").limit(FEATURES)
         chosen[name] = [r[0] for r in top.select("feature").collect()]
     counts.unpersist()
     names = sorted(set().union(*chosen.values()))
