@@ -63,20 +63,25 @@ def presence(texts: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(features: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 3) -> tuple[list[str], np.ndarray]:
-    """Languages in order and (PLACES x languages) weights, from presence rows."""
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1)
+
+
+def fit(bits: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 3) -> tuple[list[str], np.ndarray]:
+    """Languages in order and (PLACES x languages) weights, from presence rows packed to bits. Only some rows are unpacked at
+    once, as this runs in the driver."""
     names = sorted(set(languages))
     target = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    chosen = np.sort(np.random.default_rng(seed).permutation(len(features))[:landmarks])
-    used = np.flatnonzero(features[chosen].any(0))  # kernels with landmarks need no other n-grams
-    sizes = np.sqrt(np.maximum(features.sum(1, dtype=np.int64), 1)).astype(np.float32)
-    marks = features[np.ix_(chosen, used)] / sizes[chosen, None]
-    cross = np.concatenate([features[i : i + 256, used].astype(np.float32) @ marks.T for i in range(0, len(features), 256)])
+    chosen = np.sort(np.random.default_rng(seed).permutation(len(bits))[:landmarks])
+    used = np.flatnonzero(unpacked(np.bitwise_or.reduce(bits[chosen], axis=0)[None, :])[0])  # kernels with landmarks need no other n-grams
+    sizes = np.sqrt(np.maximum(np.bitwise_count(bits).sum(1, dtype=np.int64), 1)).astype(np.float32)
+    marks = np.concatenate([unpacked(bits[chosen[i : i + 64]])[:, used].astype(np.float32) for i in range(0, len(chosen), 64)]) / sizes[chosen, None]
+    cross = np.concatenate([unpacked(bits[i : i + 64])[:, used].astype(np.float32) @ marks.T for i in range(0, len(bits), 64)])
     cross = (cross / sizes[:, None]).astype(np.float64)
     inner = cross[chosen]
     weight = np.linalg.solve(cross.T @ cross + ridge * len(cross) * inner + 1e-8 * np.eye(len(inner)), cross.T @ target)
     folded = np.zeros((PLACES, len(names)), np.float32)
-    folded[used] = marks.T @ weight
+    folded[used] = marks.T @ weight.astype(np.float32)
     return names, folded
 
 
@@ -108,8 +113,8 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = few.mapInArrow(featurise, "id string, lang string, bits binary").limit(2 * sample).toArrow().sort_by([("id", "ascending"), ("bits", "ascending")])
     if not rows.num_rows:
         return [], np.zeros((PLACES, 0), np.float32)
-    features = np.unpackbits(np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(rows.num_rows, -1), axis=1)
-    return fit(features, rows.column("lang").to_pylist())
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    return fit(bits, rows.column("lang").to_pylist())
 
 
 def predictor(model: tuple[list[str], np.ndarray]):

@@ -104,20 +104,19 @@ def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.nd
     return w * scale
 
 
-def fit_chain(places: list[list[int]], labels: dict[str, np.ndarray], own: dict[str, np.ndarray], priors: dict[str, float], folds: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights of each category in turn: its own features, earlier categories' log-odds, intercept. Labels are 0, 1 or -1."""
-    rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
-    columns = np.array([c for p in places for c in p], np.int64)
-    size = int(columns.max(initial=-1)) + 1
-    earlier, models = np.zeros((len(places), 0)), {}
+def fit_chain(rows: np.ndarray, columns: np.ndarray, labels: dict[str, np.ndarray], own: dict[str, np.ndarray], priors: dict[str, float], folds: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights of each category in turn: its own features, earlier categories' log-odds, intercept. Features come as
+    (row, column) of those present. Labels are 0, 1 or -1."""
+    count, size = len(folds), int(columns.max(initial=-1)) + 1
+    earlier, models = np.zeros((count, 0)), {}
     for name, y in labels.items():
         have = y >= 0
         n = len(own[name])
         place = np.full(max([size, *(own[name] + 1)]), -1, np.int64)
         place[own[name]] = np.arange(n)
         mine = place[columns] >= 0
-        r = np.concatenate([rows[mine], np.repeat(np.arange(len(places)), earlier.shape[1])])
-        c = np.concatenate([place[columns[mine]], np.tile(n + np.arange(earlier.shape[1]), len(places))])
+        r = np.concatenate([rows[mine], np.repeat(np.arange(count), earlier.shape[1])])
+        c = np.concatenate([place[columns[mine]], np.tile(n + np.arange(earlier.shape[1]), count)])
         x = np.concatenate([np.ones(mine.sum()), earlier.ravel()])
         n += earlier.shape[1]
 
@@ -126,7 +125,7 @@ def fit_chain(places: list[list[int]], labels: dict[str, np.ndarray], own: dict[
             k = some[r]
             return logistic(at[r[k]], c[k], x[k], y[some].astype(float), n)
 
-        odds = np.full(len(places), -30.0)
+        odds = np.full(count, -30.0)
         if have.any() and 0 < y[have].mean() < 1:
             mean = float(y[have].mean())
             shift = math.log(priors[name] / (1 - priors[name])) - math.log(mean / (1 - mean)) if 0 < priors[name] < 1 else 0.0
@@ -135,7 +134,7 @@ def fit_chain(places: list[list[int]], labels: dict[str, np.ndarray], own: dict[
             for k in range(FOLDS) if name != list(labels)[-1] else ():  # nothing follows the last
                 train = have & (folds != k)
                 w = fit(train) if train.any() and 0 < y[train].mean() < 1 else np.zeros(n + 1)
-                score = np.bincount(r, x * w[c], len(places)) + w[-1] + shift
+                score = np.bincount(r, x * w[c], count) + w[-1] + shift
                 odds[folds == k] = score[folds == k]
         else:
             models[name] = np.zeros(n + 1)
@@ -234,7 +233,9 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = rows.mapInArrow(locate, f"id string, low_quality {kinds['low_quality']}, toxic {kinds['toxic']}, places array<int>").toArrow().sort_by("id")
     y = {c: np.array([-1 if v is None else v for v in got.column(c).to_pylist()], np.int64) for c in CATEGORIES}
     folds = np.arange(got.num_rows) % FOLDS
-    return Chain(names, own, fit_chain(got.column("places").to_pylist(), y, own, priors, folds))
+    places = got.column("places").combine_chunks()
+    rows_of = np.repeat(np.arange(got.num_rows), np.diff(places.offsets.to_numpy()))
+    return Chain(names, own, fit_chain(rows_of, places.flatten().to_numpy(), y, own, priors, folds))
 
 
 def predictor(chain: Chain, threshold: float = THRESHOLD):

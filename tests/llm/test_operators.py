@@ -280,7 +280,7 @@ def test_language_kernel_is_the_folded_one():
     texts = [random_text(random.Random(k), 30) for k in range(12)]
     x = langid.presence(texts, table).astype(float)
     gram = (x @ x.T) / np.sqrt(x.sum(1)[:, None] * x.sum(1)[None, :])
-    names, weights = langid.fit(langid.presence(texts, table), ["a", "b"] * 6, landmarks=12)
+    names, weights = langid.fit(np.packbits(langid.presence(texts, table), axis=1), ["a", "b"] * 6, landmarks=12)
     y = np.where(np.array(["a", "b"] * 6)[:, None] == np.array(names), 1.0, -1.0)
     dual = np.linalg.solve(gram @ gram + langid.RIDGE * 12 * gram + 1e-8 * np.eye(12), gram @ y)
     assert np.allclose((x @ weights) / np.sqrt(x.sum(1))[:, None], gram @ dual, atol=1e-2)
