@@ -163,5 +163,6 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     numbered = df.withColumn("__row", F.monotonically_increasing_id())
     docs = checkpoint(document_fingerprints(numbered.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__row"), "id", "text", words, seed))
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("__row").alias("row"))
-    kept = docs.join(fingerprint_components(docs, bits), "fp").groupBy("component").agg(F.min(order).alias("_o")).select(F.col("_o.row").alias("__row"))
+    firsts = docs.groupBy("fp").agg(F.min(order).alias("_o"))  # combined before the shuffle, however many copies there are
+    kept = firsts.join(fingerprint_components(docs, bits), "fp").groupBy("component").agg(F.min("_o").alias("_o")).select(F.col("_o.row").alias("__row"))
     return numbered.join(kept, "__row", "left_semi").drop("__row")
