@@ -6,6 +6,11 @@ by the same pattern) give positions in code points by running sums. Validators t
 characters before a span (back to the previous match of its kind) raise its score. Base kinds (email, ip, card, phone)
 stay whatever their score; iban, the kind the method adds, needs ADDED_SCORE.
 
+An iban may be followed by a word that looks like more of it, or stand in what looks like another. So its pattern matches
+the first four characters only, wherever no letter or digit is before them, and captures the longest continuation without
+one after it. Every end within that which is followed by a space is tried, the longest first, and mod-97 decides. A start
+within a confirmed iban is passed over; one within a rejected candidate isn't.
+
 The patterns are possessive and may start only at the beginning of a run or where the previous match ended, which finds
 the same leftmost matches as the plain forms in linear time and without recursion on long runs.
 
@@ -28,8 +33,10 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))[A-Z]{2}[0-9]{2}",
 }
+#: Characters of an iban that its pattern matches, and letters and digits that it has at least.
+IBAN_HEAD, IBAN_LEAST = 4, 12
 #: What a text must contain for a kind to be searched at all.
 NEEDED = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -72,27 +79,32 @@ def confirmed(kind: str, m: Column) -> Column:
     return mod97(m) if kind == "iban" else F.lit(True)
 
 
-def touches(gaps: Column, i: Column) -> Column:
-    """Whether match ``i``, between gaps ``i`` and ``i`` + 1, has a letter or digit next to it; another match counts as one."""
-    before, after = F.get(gaps, i), F.get(gaps, i + 1)
-    left = F.when(F.length(before) > 0, F.rlike(F.right(before, F.lit(1)), F.lit("[A-Za-z0-9]"))).otherwise(i > 0)
-    right = F.when(F.length(after) > 0, F.rlike(F.left(after, F.lit(1)), F.lit("[A-Za-z0-9]"))).otherwise(i + 2 < F.size(gaps))
-    return left | right
+def account(body: Column) -> Column:
+    """The longest start of ``body``, up to one of its spaces or its end, that mod-97 confirms; null if none does."""
+    words = F.split(body, " ")
+    starts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    return F.get(F.filter(starts, lambda m: (F.length(F.replace(m, F.lit(" "), F.lit(""))) >= IBAN_LEAST) & confirmed("iban", m)), F.lit(0))
 
 
-def _spans(kind: str, matches: Column, gaps: Column) -> Column:
-    """Confirmed spans of a kind from its matches and the gaps around them."""
-    rank = F.lit(KINDS.index(kind))
+def _spans(kind: str, matches: Column, gaps: Column, text: Column) -> Column:
+    """Confirmed spans of a kind from its matches, for iban what ``account`` makes of them, and the gaps around them."""
+    rank, base = F.lit(KINDS.index(kind)), kind in BASE
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"))
 
     def step(acc, m):
         gap = F.get(gaps, acc["i"])
         start = acc["at"] + F.length(gap)
         end = start + F.length(m)
-        score = F.lit(SCORES[kind]) + F.when(F.rlike(F.lower(F.right(gap, F.lit(CONTEXT))), F.lit(WORDS[kind])), CONTEXT_SCORE).otherwise(0.0)
+        if base:
+            after, before = end, F.right(gap, F.lit(CONTEXT))
+        else:
+            last = F.coalesce(F.get(acc["out"], F.size(acc["out"]) - 1)["end"], F.lit(0).cast("bigint"))
+            after, since = start + IBAN_HEAD, F.greatest(last, start - CONTEXT)
+            before = F.substring(text, (since + 1).cast("int"), (start - since).cast("int"))
+        score = F.lit(SCORES[kind]) + F.when(F.rlike(F.lower(before), F.lit(WORDS[kind])), CONTEXT_SCORE).otherwise(0.0)
         one = F.array(F.struct(start.alias("start"), rank.alias("rank"), end.alias("end"), score.alias("score"))).cast(SPAN)
-        good = confirmed(kind, m) if kind in BASE else confirmed(kind, m) & ~touches(gaps, acc["i"]) & (score >= ADDED_SCORE)
-        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        good = confirmed(kind, m) if base else m.isNotNull() & (start >= last) & (score >= ADDED_SCORE)
+        return F.struct(after.alias("at"), (acc["i"] + 1).alias("i"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(matches, begin, step, lambda acc: acc["out"])
 
@@ -101,9 +113,10 @@ def with_spans(df: DataFrame, text_col: str = "text", spans: str = "__spans") ->
     """Add ``spans``: array of (start, rank, end, score) by start, then rank, the kind's place in KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     # each step is a projection of its own, so that no search runs twice
-    found = df.withColumns({f"__m_{k}": F.when(NEEDED[k](text), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))) for k in KINDS})
+    found = df.withColumns({f"__m_{k}": F.when(NEEDED[k](text), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0 if k in BASE else 1))) for k in KINDS})
     cut = found.withColumns({f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split(text, PATTERNS[k], -1)) for k in KINDS})
-    placed = cut.withColumns({f"__s_{k}": F.when(F.size(f"__m_{k}") > 0, _spans(k, F.col(f"__m_{k}"), F.col(f"__g_{k}"))) for k in KINDS})
+    cut = cut.withColumn("__m_iban", F.transform("__m_iban", account))
+    placed = cut.withColumns({f"__s_{k}": F.when(F.size(f"__m_{k}") > 0, _spans(k, F.col(f"__m_{k}"), F.col(f"__g_{k}"), text)) for k in KINDS})
     none = F.array().cast(SPAN)
     merged = placed.withColumn(spans, F.array_sort(F.concat(*[F.coalesce(f"__s_{k}", none) for k in KINDS])))
     return merged.drop(*[f"__{x}_{k}" for x in "mgs" for k in KINDS])

@@ -425,6 +425,34 @@ def test_personal_data_context_and_mod97(spark):
     assert got[2].spans[0].score > got[3].spans[0].score
 
 
+def ibans_by_hand(text):
+    shape = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+    out, at = [], 0
+    for a in range(len(text)):
+        if a < at or re.match("[A-Za-z0-9]", text[a - 1 : a]):
+            continue
+        for b in range(min(len(text), a + 43), a, -1):
+            bare = text[a:b].replace(" ", "")
+            if shape.fullmatch(text, a, b) and not re.match("[A-Za-z0-9]", text[b : b + 1]) and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                out.append((a, b))
+                at = b
+                break
+    return out
+
+
+def test_account_numbers_beside_words_and_numbers(spark):
+    told = ["AT611904300234573201 Herr", "ES91 2100 0418 4502 0005 1332 Bitte", "ES91 2100 0418 4502 0005 1332 BITTE", "KUNDENNR1234567890 DE89 3704 0044 0532 0130 00", "AB12 3456 7890 DE89 3704 0044 0532 0130 00", "éAT611904300234573201 ABCD EFGH"]
+    bits = ["AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "SE4550000000058398257466", "NO93 8601 1117 947", "Herr", "BITTE", "X", "AB12 3456 7890", "KUNDENNR1234567890", "9", "é", ","]
+    r = random.Random(7)
+    texts = told + ["".join(r.choice(bits) + r.choice([" ", " ", " ", ""]) for _ in range(r.randint(1, 7))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, kept = by_id(pii.find(df)), by_id(pii.redact(df))
+    for i, t in enumerate(texts):
+        assert [(s.start, s.end) for s in found[i].spans if s.kind == "iban"] == ibans_by_hand(t), t
+    assert all("[IBAN]" in kept[i].text for i in range(len(told)))
+    assert kept[0].text == "[IBAN] Herr" and kept[2].text == "[IBAN] BITTE"
+
+
 # -- toxicity, media ---------------------------------------------------------------------------------------------------
 
 
