@@ -8,8 +8,8 @@ each n-gram and language, so batches of whole texts are scored by one matrix pro
 
 n-grams are of lower-cased letters; every run of other characters is one space. They are hashed to 2 ** 16 places.
 
-Fitting: at most SAMPLE labelled texts in all, the same number of each language, drawn by a hash of the id
-(documented bound; languages beyond MAX_LANGUAGES by count aren't learned). Only rows with a language and whose
+Fitting: about SAMPLE labelled texts in all, the same number of each language, drawn by a hash of the id, but LEAST of each
+however many languages there are (documented bound). Every language is learned and has LEAST landmarks, or all its rows. Only rows with a language and whose
 crc32(id) mod 3 is not the held-out remainder 1 are learned from. Prediction uses the text alone.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; with no labelled rows every text is ``und``;
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, text_udf
 
-#: Bounds of the fit: labelled texts, languages, landmarks.
-SAMPLE, MAX_LANGUAGES, LANDMARKS = 3000, 50, 400
+#: Bounds of the fit: labelled texts, landmarks, and what each language has of both at least.
+SAMPLE, LANDMARKS, LEAST = 3000, 400, 16
 RIDGE = 1e-3
 PLACES = 1 << 16
 #: Characters of a text whose n-grams are hashed at once, and texts scored by one product.
@@ -72,7 +72,13 @@ def fit(bits: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridg
     once, as this runs in the driver."""
     names = sorted(set(languages))
     target = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    chosen = np.sort(np.random.default_rng(seed).permutation(len(bits))[:landmarks])
+    dealt = np.random.default_rng(seed).permutation(len(bits))
+    seen, chosen = dict.fromkeys(names, 0), []
+    for i, row in enumerate(dealt):
+        seen[languages[row]] += 1
+        if i < landmarks or seen[languages[row]] <= LEAST:
+            chosen.append(row)
+    chosen = np.sort(chosen)
     used = np.flatnonzero(unpacked(np.bitwise_or.reduce(bits[chosen], axis=0)[None, :])[0])  # kernels with landmarks need no other n-grams
     sizes = np.sqrt(np.maximum(np.bitwise_count(bits).sum(1, dtype=np.int64), 1)).astype(np.float32)
     marks = np.concatenate([unpacked(bits[chosen[i : i + 64]])[:, used].astype(np.float32) for i in range(0, len(chosen), 64)]) / sizes[chosen, None]
@@ -93,10 +99,10 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit on a bounded sample of the rows that may be learned from."""
     bounded_batches(df.sparkSession)
     open_ = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = {r[0]: r[1] for r in open_.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in open_.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).collect()}
     if not counts:
         return [], np.zeros((PLACES, 0), np.float32)
-    each = sample // len(counts)
+    each = max(sample // len(counts), LEAST)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(float(each) / n))])
     drawn = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)) < share[F.col(lang_col)] * (1 << 30)
     few = open_.filter(drawn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -110,7 +116,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.RecordBatch.from_arrays([s.column("id").cast(pa.string()), s.column("lang"), pa.array([r.tobytes() for r in bits], pa.binary())], ["id", "lang", "bits"])
 
     # draws vary around the share; what is above twice the bound stays out
-    rows = few.mapInArrow(featurise, "id string, lang string, bits binary").limit(2 * sample).toArrow().sort_by([("id", "ascending"), ("bits", "ascending")])
+    rows = few.mapInArrow(featurise, "id string, lang string, bits binary").limit(2 * max(sample, each * len(counts))).toArrow().sort_by([("id", "ascending"), ("bits", "ascending")])
     if not rows.num_rows:
         return [], np.zeros((PLACES, 0), np.float32)
     bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(rows.num_rows, -1)

@@ -275,6 +275,15 @@ def test_language(spark):
     assert langid.keep_identified(df).columns == df.columns and langid.keep_identified(df).count() == len(rows) - 2
 
 
+def test_every_language_is_learned(spark):
+    words = {k: [f"{chr(97 + k // 26)}{chr(97 + k % 26)}{c}" for c in "qxzjk"] for k in range(60)}
+    rows = [(100 * k + i, " ".join(random.Random(i).choices(words[k], k=20)), f"l{k:02}") for k in range(60) for i in range(12 if k < 55 else 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(langid.identify(df))
+    assert {got[i].lang_pred for i, _, _ in rows} == {f"l{k:02}" for k in range(60)}
+    assert sum(got[i].lang_pred == lang for i, _, lang in rows) >= 0.98 * len(rows)
+
+
 def test_language_kernel_is_the_folded_one():
     table = langid._letter_table()
     texts = [random_text(random.Random(k), 30) for k in range(12)]
