@@ -19,6 +19,8 @@ other than id, text and language are not read, and ``with_language`` keeps all.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,12 +34,15 @@ RIDGE = 1e-3
 PLACES = 1 << 16
 #: Characters of a text whose n-grams are hashed at once, and texts scored by one product.
 SLICE, BATCH = 1 << 20, 32
+#: Code points from here on are no letters, the last one before neither.
+LETTERS_END = 0x40000
 
 
+@cache
 def _letter_table() -> np.ndarray:
-    """Code of each character of the basic plane: its lower-case letter, or 0."""
-    table = np.zeros(0x10000, np.uint32)
-    for c in range(0x10000):
+    """Code of each character of the planes that have letters: its lower-case letter, or 0."""
+    table = np.zeros(LETTERS_END, np.uint32)
+    for c in range(LETTERS_END):
         if 0xD800 <= c < 0xE000:
             continue
         ch = chr(c)
@@ -53,9 +58,9 @@ def presence(texts: list[str], table: np.ndarray) -> np.ndarray:
     for row, text in zip(out, texts, strict=True):
         for i in range(0, len(text), SLICE):
             raw = np.frombuffer(f" {text[max(0, i - 3) : i + SLICE]} ".encode("utf-32-le"), np.uint32)
-            c = table[np.minimum(raw, 0xFFFF)]
+            c = table[np.minimum(raw, LETTERS_END - 1)]
             c = c[np.concatenate(([True], (c[1:] | c[:-1]) != 0))]
-            row[(c * np.uint32(40503)) & last] = 1
+            row[(c * np.uint32(40503) ^ (c >> np.uint32(16)) * np.uint32(2531)) & last] = 1
             two = c[:-1] * np.uint32(92821) + c[1:] * np.uint32(31)
             row[(two ^ (two >> np.uint32(9))) & last] = 1
             three = two[:-1] * np.uint32(4099) + c[2:] * np.uint32(131)

@@ -284,6 +284,14 @@ def test_every_language_is_learned(spark):
     assert sum(got[i].lang_pred == lang for i, _, lang in rows) >= 0.98 * len(rows)
 
 
+def test_languages_of_scripts_outside_the_basic_plane(spark):
+    assert not any(chr(c).isalpha() for c in range(langid.LETTERS_END - 1, 0x110000))
+    starts = {"adlam": 0x1E922, "gothic": 0x10330, "han": 0x20061, "en": 0x61}
+    rows = [(1000 * k + i, " ".join("".join(chr(a + random.Random(9 * i + j).randrange(20)) for j in range(h, h + 6)) for h in range(0, 60, 6)), lang) for k, (lang, a) in enumerate(starts.items()) for i in range(30)]
+    got = by_id(langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+
+
 def test_language_kernel_is_the_folded_one():
     table = langid._letter_table()
     texts = [random_text(random.Random(k), 30) for k in range(12)]
