@@ -12,8 +12,8 @@ Fitting: about SAMPLE labelled texts in all, the same number of each language, d
 however many languages there are (documented bound). Every language is learned and has LEAST landmarks, or all its rows. Only rows with a language and whose
 crc32(id) mod 3 is not the held-out remainder 1 are learned from. Prediction uses the text alone.
 
-Defined cases: null text, or text without a letter, is ``und`` with score 0; with no labelled rows every text is ``und``;
-ties go to the first language in order; repeated rows give equal rows; an empty table gives an empty result; columns
+Defined cases: null text, or text without a letter, is ``und`` with score 0; with no labelled rows every text is ``und``,
+and ``keep_identified`` then rejects only null texts and those without a letter; ties go to the first language in order; repeated rows give equal rows; an empty table gives an empty result; columns
 other than id, text and language are not read, and ``with_language`` keeps all.
 """
 
@@ -161,8 +161,12 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows, with all their columns, whose text has a learned language; ``und`` is what is rejected."""
+    """Rows, with all their columns, whose text has a learned language; ``und`` is what is rejected. Where no language could be learned,
+    rows whose text has a letter."""
     bounded_batches(df.sparkSession)
-    udf = predictor(learn(df, id_col, text_col, lang_col))
+    model = learn(df, id_col, text_col, lang_col)
+    if not model[0]:
+        return df.filter(F.rlike(F.col(text_col), F.lit(r"\p{L}")))
+    udf = predictor(model)
     marked = df.withColumn("__language", udf(F.col(text_col)))
     return marked.filter(F.col("__language.lang_pred") != "und").drop("__language")

@@ -292,6 +292,12 @@ def test_languages_of_scripts_outside_the_basic_plane(spark):
     assert all(got[i].lang_pred == lang for i, _, lang in rows)
 
 
+def test_no_language_to_learn_keeps_texts_with_letters(spark):
+    rows = [(0, "some words", None), (1, "é", None), (2, None, None), (3, "", None), (4, "12 !", None), (5, "\U0001e922", None)]
+    got = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 5] and got.columns == ["doc_id", "text", "lang"]
+
+
 def test_language_kernel_is_the_folded_one():
     table = langid._letter_table()
     texts = [random_text(random.Random(k), 30) for k in range(12)]
