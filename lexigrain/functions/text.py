@@ -25,6 +25,38 @@ def rest(array: Column | str) -> Column:
     return F.slice(array, F.lit(2), F.size(array))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def runs(items: Column, key, make) -> Column:
+    """Groups of an array within its row: the items are sorted, and ``make(first, run)`` gives what stands for each run of
+    items with equal ``key``. Nothing is shuffled, and time follows n log n."""
+
+    def grouped(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (key(F.get(a, i)) != key(F.get(a, i - 1))))
+        return let(starts, lambda s: F.transform(s, lambda b, k: let(F.slice(a, b + 1, F.coalesce(F.get(s, k + 1), F.size(a)) - b), lambda run: make(F.get(a, b), run))))
+
+    return let(F.sort_array(items), lambda a: F.when(F.size(a) > 0, grouped(a)))
+
+
+def word_runs(tokens: Column) -> Column:
+    """array<(term, tf, zones, positions)> of a document's array of (term, zone)."""
+    placed = F.transform(tokens, lambda t, i: F.struct(t["term"].alias("term"), i.alias("pos"), t["zone"].alias("zone")))
+
+    def make(first: Column, run: Column) -> Column:
+        zones = F.aggregate(run, F.lit(0), lambda acc, t: acc.bitwiseOR(t["zone"]))
+        return F.struct(first["term"].alias("term"), F.size(run).cast("bigint").alias("tf"), zones.alias("zones"), F.transform(run, lambda t: t["pos"]).alias("positions"))
+
+    return runs(placed, lambda t: t["term"], make)
+
+
+def counts(items: Column) -> Column:
+    """array<(item, n)>: how often each item is in an array."""
+    return runs(items, lambda t: t, lambda first, run: F.struct(first.alias("item"), F.size(run).cast("bigint").alias("n")))
+
+
 def equals(value: str):
     """(str to function) A test for array elements."""
     return lambda x: x == value
@@ -45,8 +77,10 @@ def idf(documents: Column, df: Column) -> Column:
 
 
 def bm25_part(idf_: Column, tf: Column, length: Column, average: Column, k: float = 1.5, b: float = 0.75) -> Column:
-    """A query term's share of a document's BM25 score."""
-    return idf_ * tf * F.lit(k + 1) / (tf + F.lit(k) * (F.lit(1 - b) + F.lit(b) * length / average))
+    """A query term's share of a document's BM25 score. It is 0 where the average length, rounded down, is 0: a length is
+    infinitely many times such an average."""
+    share = idf_ * tf * F.lit(k + 1) / (tf + F.lit(k) * (F.lit(1 - b) + F.lit(b) * length / F.nullif(average, F.lit(0))))
+    return F.coalesce(share, F.lit(0.0))
 
 
 def trigrams(word: Column | str) -> Column:

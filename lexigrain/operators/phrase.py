@@ -25,7 +25,7 @@ def phrase(docs: DataFrame, words: list[str]) -> DataFrame:
 def phrase_strict(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id) where the words stand in one run."""
     held = documents_held(docs, id_col, text_col)
-    run = F.array_join(F.lit([f"{w}" for w in words]), " ")
+    run = F.lit(" ".join(words))
     return held.filter(F.contains(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.concat(F.lit(" "), run, F.lit(" ")))).select("doc_id")
 
 

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 STRATEGIES = ("prefix-tree", "trigram", "relocation")
+#: Table that a saved index keeps for each.
+TABLES = {"prefix-tree": "reversed", "trigram": "grams", "relocation": "rotations"}
+
+
+def suffix_index(vocabulary: DataFrame) -> DataFrame:
+    """(reversed, term): words by their end, as a sorted vocabulary has them by their beginning."""
+    return vocabulary.select(F.reverse("term").alias("reversed"), "term")
 
 
 def trigram_index(vocabulary: DataFrame) -> DataFrame:
@@ -20,9 +27,17 @@ def permuterm_index(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select(F.explode(T.rotations(F.col("term"))).alias("rotation"), "term")
 
 
-def by_prefix(vocabulary: DataFrame, pattern: str) -> DataFrame:
-    """Candidates by what stands before the first * and after the last; then verified. A sorted vocabulary prunes by prefix."""
+def index_table(vocabulary: DataFrame, strategy: str) -> DataFrame:
+    """What a saved index keeps for a strategy."""
+    return {"prefix-tree": suffix_index, "trigram": trigram_index, "relocation": permuterm_index}[strategy](vocabulary)
+
+
+def by_prefix(vocabulary: DataFrame, pattern: str, suffixes: DataFrame | None = None) -> DataFrame:
+    """Candidates by what stands before the first * and after the last; then verified. A sorted vocabulary prunes by prefix, a
+    sorted ``suffixes`` table patterns without one by suffix."""
     head, tail = pattern.split("*", 1)[0], pattern.rsplit("*", 1)[-1]
+    if suffixes is not None and "*" in pattern and len(tail) > len(head):
+        return suffixes.filter(F.col("reversed").startswith(tail[::-1])).filter(T.matches("term", pattern)).select("term")
     out = vocabulary.filter(F.col("term").startswith(head)) if head else vocabulary
     if tail and "*" in pattern:
         out = out.filter(F.col("term").endswith(tail))

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as T
 from ..operators.index import Index, documents_held
 from .lang import And, Leaf, Node, Not, Or, QuerySyntaxError, UnsupportedQuery, complement, leaves, normalise, parse
@@ -61,36 +62,68 @@ def combine(node: Node, columns: dict[Leaf, Column]) -> Column:
     return reduce(Column.__and__ if isinstance(node, And) else Column.__or__, [combine(p, columns) for p in node.parts])
 
 
-def scan(query: str | Node, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(query: str | Node, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", zones: dict[str, str] | None = None) -> DataFrame:
     """(doc_id) of the documents that match, by one pass over them."""
     node = parse(query) if isinstance(query, str) else query
-    held = documents_held(docs, id_col, text_col)
+    held = documents_held(docs, id_col, text_col, zones)
     tests = {x: scan_column(x, F.col("tokens")) for x in leaves(node)}
     return held.filter(combine(normalise(node), tests)).select("doc_id")
 
 
-def search(query: str | Node, index: Index) -> DataFrame:
-    """(doc_id) of the documents that match, by the postings of the query's words."""
-    node = parse(query) if isinstance(query, str) else query
-    if index.saved is None:
-        return scan(node, index.documents)
-    found = leaves(node)
+def _by_bigrams(leaf: Leaf, index: Index) -> bool:
+    """Whether a phrase is answered by the bigram table, as the index has no positions."""
+    return not any(leaf.gaps or ()) and "positions" not in index.tables["postings"].columns and "bigrams" in index.tables
+
+
+def signals(found: list[Leaf], index: Index) -> tuple[DataFrame, dict[Leaf, Column]]:
+    """What a saved index has for the leaves: one row for each document with any of their words, and each leaf's truth on it.
+
+    Rows of the postings, of words that wildcards expand to and of the bigram table are brought together by document.
+    """
     words = sorted({w for x in found if not x.wildcard for w in x.words})
-    patterns = [x.words[0] for x in found if x.wildcard]
-    wanted = reduce(Column.__or__, [T.matches("term", p) for p in patterns], F.col("term").isin(words) if words else F.lit(False))
-    aggregates = [F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{i}") for i, w in enumerate(words)]
-    aggregates += [F.max(T.matches("term", p)).alias(f"w{i}") for i, p in enumerate(patterns)]
-    by_doc = index.postings().filter(wanted).groupBy("doc_id").agg(*aggregates)
+    patterns = [x for x in found if x.wildcard]
+    held = index.postings()
+    placed = "positions" in held.columns
+    near = [x for x in found if not x.wildcard and len(x.words) > 1]
+    if not placed and any(any(x.gaps or ()) for x in near):
+        raise UnsupportedQuery("the index has no positions, which a distance needs")
+    pairs = list(dict.fromkeys((a, b) for x in near if _by_bigrams(x, index) for a, b, _ in _pairs(x)))
+    none = F.array().cast("array<int>")
+    signal = lambda df, name, n, at=none: df.select("doc_id", name.alias("_k"), n.alias("_i"), at.alias("positions"))
+    parts = [signal(index.postings(words), F.lit("word"), F.array_position(F.lit(words), F.col("term")).cast("int") - 1, F.col("positions") if placed else none)] if words else []
+    for i, x in enumerate(patterns):
+        terms = storage.checkpoint(index.expand(x.words[0]))
+        parts.append(signal(held.join(storage.small(terms, 40), "term", "left_semi"), F.lit("wild"), F.lit(i)))
+    for i, (a, b) in enumerate(pairs):
+        parts.append(signal(index.tables["bigrams"].filter((F.col("prev") == a) & (F.col("term") == b)), F.lit("pair"), F.lit(i)))
+    rows = reduce(DataFrame.unionByName, parts)
+    is_ = lambda name, i: (F.col("_k") == name) & (F.col("_i") == i)
+    aggregates = [F.max(F.when(is_("word", i), F.col("positions"))).alias(f"p{i}") for i in range(len(words))]
+    aggregates += [F.max(is_(name, i)).alias(f"{name}{i}") for name, of in (("wild", patterns), ("pair", pairs)) for i in range(len(of))]
     place = {w: F.col(f"p{i}") for i, w in enumerate(words)}
 
     def column(x: Leaf) -> Column:
         if x.wildcard:
-            return F.col(f"w{patterns.index(x.words[0])}")
+            return F.col(f"wild{patterns.index(x)}")
         if len(x.words) == 1:
             return place[x.words[0]].isNotNull()
+        if _by_bigrams(x, index):
+            return reduce(Column.__and__, [F.col(f"pair{pairs.index((a, b))}") for a, b, _ in _pairs(x)])
+        if not placed:
+            return reduce(Column.__and__, [place[w].isNotNull() for w in x.words])
         return reduce(Column.__and__, [follows(place[a], place[b], g) for a, b, g in _pairs(x)])
 
-    test = combine(normalise(node), {x: column(x) for x in found})
+    return rows.groupBy("doc_id").agg(*aggregates), {x: column(x) for x in found}
+
+
+def search(query: str | Node, index: Index) -> DataFrame:
+    """(doc_id) of the documents that match, by the postings of the query's words. Without positions a phrase is asked of the
+    bigram table, and without that one it asks for its words only."""
+    node = parse(query) if isinstance(query, str) else query
+    if not index.saved:
+        return scan(node, index.documents, zones=index.zones)
+    by_doc, tests = signals(leaves(node), index)
+    test = combine(normalise(node), tests)
     if complement(node):
         return index.documents.select("doc_id").join(by_doc.filter(~test).select("doc_id"), "doc_id", "left_anti")
     return by_doc.filter(test).select("doc_id")

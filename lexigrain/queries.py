@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +12,9 @@ from .operators import index as I
 from .operators import phrase, rank, vectors, wildcard
 from .operators.sets import DocSet
 from .plans import planner
-from .session import shared_dir, ship
+from .session import ship
 from .sources import books
+from .storage import names, scratch
 from .streaming.append import append
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,8 +51,20 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.page_zones(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+_saved: dict[tuple[str, str, str], str] = {}
+
+
+def saved_index(spark: SparkSession, sf: str, table: str = "documents") -> I.Index:
+    """The saved index of a table, written once in a session's life (to a scratch folder) and loaded for each query. Pages are
+    indexed by zone. The index has positions, bigrams and the tables of every wildcard strategy."""
+    key = (spark.sparkContext.applicationId, sf, table)
+    if key not in _saved or not names(spark, _saved[key]):
+        path = scratch(spark, "index")
+        source = zones(spark, sf) if table == "pages" else documents(spark, sf).select("doc_id", "text")
+        index = I.Index.of(source, zones=I.present_zones(source.columns) or None)
+        index.save(path, bigrams=True, wildcards=wildcard.STRATEGIES if table == "documents" else ())
+        _saved[key] = path
+    return I.Index.load(spark, _saved[key])
 
 
 # -- tokens and indexes ------------------------------------------------------------------------------------------------
@@ -123,24 +135,42 @@ def _posting_gaps(spark, sf):
 @register("append_index", r"""WITH every AS (SELECT text FROM documents UNION ALL SELECT text FROM benchmark), n AS (SELECT row_number() OVER () AS id, text FROM every),
 t AS (SELECT id, lower(unnest(regexp_extract_all(text, '\w+'))) AS term FROM n) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM t GROUP BY term""")
 def _append_index(spark, sf):
-    path = scratch(spark)
-    I.Index.of(documents(spark, sf)).save(path)
+    path = scratch(spark, "index")
+    I.Index.of(documents(spark, sf).select("doc_id", "text")).save(path)
     append(spark, path, spark.read.parquet(f"{sf}/benchmark.parquet"), order="item_id")
     return I.Index.load(spark, path).vocabulary()
 
 
 @register("json_index", f"WITH {VOC} SELECT term, df, cf FROM voc")
 def _json_index(spark, sf):
-    path = scratch(spark)
-    I.Index.of(documents(spark, sf)).save(path, kind="json")
-    return I.Index.load(spark, path, kind="json").vocabulary()
+    path = scratch(spark, "index")
+    I.Index.of(documents(spark, sf).select("doc_id", "text")).save(path, kind="json")
+    return I.Index.load(spark, path).vocabulary()
 
 
-@register("index_manifest", f"WITH {VOC} SELECT min(term) AS first_term, max(term) AS last_term, count(*) AS rows FROM tf")
+@register("index_manifest", f"WITH {VOC} SELECT {' + '.join(f'CASE WHEN term >= {b!r} THEN 1 ELSE 0 END' for b in _BOUNDS)} AS range_id, min(term) AS first_term, max(term) AS last_term, count(*) AS rows FROM tf GROUP BY ALL")
 def _index_manifest(spark, sf):
-    path = scratch(spark)
-    I.Index.of(documents(spark, sf)).save(path)
-    return I.Index.manifest(spark, path).agg(F.min("first_term").alias("first_term"), F.max("last_term").alias("last_term"), F.sum("rows").alias("rows"))
+    """Ranges between delimiters, each a folder with one or more files."""
+    path = scratch(spark, "index")
+    I.Index.of(documents(spark, sf).select("doc_id", "text")).save(path, delimiters=_BOUNDS)
+    return I.Index.manifest(spark, path).groupBy("range_id").agg(F.min("first_term").alias("first_term"), F.max("last_term").alias("last_term"), F.sum("rows").alias("rows"))
+
+
+@register("index_range_lookup", f"WITH {VOC} SELECT term, doc_id, tf FROM tf WHERE term IN ('und', 'der', 'zzzz')")
+def _index_range_lookup(spark, sf):
+    """Words are looked up in the folders of their ranges only."""
+    path = scratch(spark, "index")
+    I.Index.of(documents(spark, sf).select("doc_id", "text")).save(path, delimiters=_BOUNDS)
+    return I.Index.load(spark, path).postings(["und", "der", "zzzz"]).select("term", "doc_id", "tf")
+
+
+@register("index_remove", f"WITH {VOC}, k AS (SELECT term, doc_id, tf FROM tf WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM k GROUP BY term")
+def _index_remove(spark, sf):
+    """Documents taken out of a saved index."""
+    path = scratch(spark, "index")
+    I.Index.of(documents(spark, sf).select("doc_id", "text")).save(path)
+    I.Index.remove(spark, path, spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1"))
+    return I.Index.load(spark, path).vocabulary()
 
 
 @register("deregister", f"WITH {VOC}, k AS (SELECT term, doc_id FROM tf WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT term, count(*) AS df FROM k GROUP BY term")
@@ -177,18 +207,19 @@ for _name, (_query, _condition) in _BOOLEAN.items():
     register(_name, _sql(_condition))(lambda spark, sf, q=_query: planner.scan(q, documents(spark, sf)))
 
 
-@register("index_search", _sql("({the} AND NOT ({of} OR {and})) OR ({und} AND {der})"))
-def _index_search(spark, sf):
-    path = scratch(spark)
-    I.Index.of(documents(spark, sf)).save(path)
-    return planner.search("(the & !(of | and)) | (und & der)", I.Index.load(spark, path))
+_INDEXED = {
+    "index_search": ("(the & !(of | and)) | (und & der)", _sql("({the} AND NOT ({of} OR {and})) OR ({und} AND {der})")),
+    "index_search_complement": ("!(the & of)", _sql("NOT ({the} AND {of})")),
+    "index_wildcard": ("re*ing | *anat*", f"WITH {TOK} SELECT DISTINCT doc_id FROM tok WHERE term LIKE 're%ing' OR term LIKE '%anat%'"),
+}
 
 
-@register("index_search_complement", _sql("NOT ({the} AND {of})"))
-def _index_search_complement(spark, sf):
-    path = scratch(spark)
-    I.Index.of(documents(spark, sf)).save(path)
-    return planner.search("!(the & of)", I.Index.load(spark, path))
+def _indexed(query: str):
+    return lambda spark, sf: planner.search(query, saved_index(spark, sf))
+
+
+for _name, (_query, _oracle) in _INDEXED.items():
+    register(_name, _oracle)(_indexed(_query))
 
 
 @register("search_with_metadata", f"WITH {W} SELECT doc_id, lang, source FROM d JOIN documents USING (doc_id) WHERE list_contains(w, 'und') AND list_contains(w, 'der')")
@@ -221,6 +252,10 @@ def _phrase_pairwise(spark, sf):
     return planner.scan("of the and", documents(spark, sf))
 
 
+register("index_phrase", f"WITH {TOK} {_pair('of', 'the')} INTERSECT {_pair('the', 'and')}")(_indexed("of the and"))
+register("index_proximity", f"WITH {TOK} {_pair('of', 'the', 3)}")(_indexed("of /3 the"))
+
+
 @register("phrase_strict", f"WITH {TOK} SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN tok c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'of' AND b.term = 'the' AND c.term = 'and'")
 def _phrase_strict(spark, sf):
     return phrase.phrase_strict(documents(spark, sf), ["of", "the", "and"])
@@ -294,12 +329,14 @@ def _pages_zones(spark, sf):
 
 @register("zone_postings", f"WITH {ZON}, p AS (SELECT doc_id, unnest(t) AS term, 2 AS zone FROM z UNION ALL SELECT doc_id, unnest(b), 8 FROM z) SELECT term, doc_id, count(*) AS tf, bit_or(zone) AS zones FROM p GROUP BY ALL")
 def _zone_postings(spark, sf):
-    return I.postings(I.zoned_tokens(zones(spark, sf))).select("term", "doc_id", "tf", "zones")
+    pages = zones(spark, sf)
+    return I.postings(pages, I.present_zones(pages.columns)).select("term", "doc_id", "tf", "zones")
 
 
 @register("zone_rating", f"WITH {ZON}, p AS (SELECT doc_id, unnest(t) AS term, 2 AS zone FROM z UNION ALL SELECT doc_id, unnest(b), 8 FROM z), g AS (SELECT term, doc_id, bit_or(zone) AS zones FROM p GROUP BY ALL) SELECT term, doc_id, round(CAST((CASE WHEN zones & 2 <> 0 THEN 0.3 ELSE 0 END) + (CASE WHEN zones & 8 <> 0 THEN 0.1 ELSE 0 END) AS DOUBLE), 9) AS rating FROM g")
 def _zone_rating(spark, sf):
-    got = I.postings(I.zoned_tokens(zones(spark, sf)))
+    pages = zones(spark, sf)
+    got = I.postings(pages, I.present_zones(pages.columns))
     return _rounded(got.select("term", "doc_id", T.zone_rating("zones").alias("rating")))
 
 
@@ -308,6 +345,12 @@ def _zone_search(spark, sf):
     return _rounded(rank.zone_search("the", zones(spark, sf)))
 
 
+@register("index_zone_search", ORACLE_SQL["zone_search"])
+def _index_zone_search(spark, sf):
+    """From the zones in the saved postings."""
+    return _rounded(rank.zone_search_index("the", saved_index(spark, sf, "pages")))
+
+
 @register("ranked_or", _two("or"))
 def _ranked_or(spark, sf):
     return _rounded(rank.zone_search("the | und", zones(spark, sf)))
@@ -323,6 +366,11 @@ def _ranked_compat(spark, sf):
     return _rounded(rank.zone_search("the & of", zones(spark, sf), compat=True))
 
 
+@register("index_ranked_and", _two("and", "the", "of"))
+def _index_ranked_and(spark, sf):
+    return _rounded(rank.zone_search_index("the & of", saved_index(spark, sf, "pages")))
+
+
 @register("ranked_and_not", f"WITH {ZON}, r AS (SELECT doc_id, CAST({_rating('the')} AS DOUBLE) AS x, CAST({_rating('and')} AS DOUBLE) AS y FROM z) SELECT doc_id, round(x, 9) AS rating, 1 AS compound_of FROM r WHERE x > 0 AND NOT y > 0")
 def _ranked_and_not(spark, sf):
     return _rounded(rank.zone_search("the & !and", zones(spark, sf)))
@@ -351,6 +399,12 @@ def _bm25_topk(spark, sf):
     return rank.bm25(documents(spark, sf), "und anat der", "skip", limit=10).withColumn("rating", F.round("rating", 6))
 
 
+for _missing in ("stop", "skip"):
+    register(f"index_bm25_{_missing}", _bm25_sql(["und", "anat", "der"], _missing))(
+        lambda spark, sf, m=_missing: rank.bm25_index(saved_index(spark, sf), "und anat der", m).withColumn("rating", F.round("rating", 6))
+    )
+
+
 @register("bm25_boolean", _bm25_sql(["und", "der"], "skip").replace("FROM r WHERE", "FROM r WHERE doc_id NOT IN (SELECT doc_id FROM tok WHERE term = 'anat') AND"))
 def _bm25_boolean(spark, sf):
     return rank.bm25_search("und der & !anat", documents(spark, sf)).select("doc_id", F.round("rating", 6).alias("rating"))
@@ -387,11 +441,12 @@ def _cosine_pairs(spark, sf):
     return got.filter("cosine IS NOT NULL AND NOT isnan(cosine)").withColumn("cosine", F.round("cosine", 6))
 
 
-@register("outer_zip", f"WITH {VOC}, l AS (SELECT term, CAST(tf AS DOUBLE) AS w FROM tf WHERE doc_id = 0), r AS (SELECT term, CAST(tf AS DOUBLE) AS w FROM tf WHERE doc_id = 1) SELECT term, coalesce(l.w, 0) AS l, coalesce(r.w, 0) AS r FROM l FULL JOIN r USING (term)")
+@register("outer_zip", f"WITH {VOC}, v AS (SELECT lang, term, CAST(sum(tf) AS DOUBLE) AS w FROM tf JOIN documents USING (doc_id) GROUP BY ALL), l AS (SELECT term, w FROM v WHERE lang = 'en'), r AS (SELECT term, w FROM v WHERE lang = 'de') SELECT term, coalesce(l.w, 0) AS l, coalesce(r.w, 0) AS r FROM l FULL JOIN r USING (term)")
 def _outer_zip(spark, sf):
-    """Two documents are the operator's two operands."""
-    x = I.term_frequencies(documents(spark, sf)).select("doc_id", "term", F.col("tf").cast("double").alias("w"))
-    return vectors.outer_zip(x.filter("doc_id = 0"), x.filter("doc_id = 1"))
+    """Its operands are the term vectors of two languages' documents."""
+    docs = documents(spark, sf)
+    one = lambda lang: I.term_frequencies(docs.filter(F.col("lang") == lang)).groupBy("term").agg(F.sum("tf").cast("double").alias("w"))
+    return vectors.outer_zip(one("en"), one("de"))
 
 
 _LEADERS = "(SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS k FROM documents) WHERE k <= (SELECT floor(sqrt(count(*))) FROM documents))"
@@ -411,7 +466,7 @@ def _leader_select(spark, sf):
     f"WITH {VEC}, k AS {_LEADERS}, c AS (SELECT a.doc_id AS leader, b.doc_id AS doc_id, round(sum(a.w * b.w) / max(m.norm * n.norm), 9) AS cosine FROM x a JOIN x b USING (term) JOIN k ON k.doc_id = a.doc_id "
     "JOIN nrm m ON m.doc_id = a.doc_id JOIN nrm n ON n.doc_id = b.doc_id WHERE m.norm > 0 AND n.norm > 0 GROUP BY ALL), "
     "o AS (SELECT doc_id, leader, cosine, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, leader) AS p FROM c) "
-    "SELECT e.doc_id, coalesce(leader, (SELECT min(doc_id) FROM k)) AS leader, round(coalesce(cosine, 0), 6) AS cosine FROM (SELECT DISTINCT doc_id FROM x) e LEFT JOIN (SELECT * FROM o WHERE p = 1) USING (doc_id)",
+    "SELECT e.doc_id, coalesce(leader, (SELECT min(doc_id) FROM k)) AS leader, round(coalesce(cosine, 0), 6) AS cosine FROM (SELECT DISTINCT doc_id FROM x) e LEFT JOIN (SELECT * FROM o WHERE p = 1 AND cosine > 0) USING (doc_id)",
 )
 def _leader_assign(spark, sf):
     docs = documents(spark, sf)

@@ -8,16 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators.index import with_ids
-
-
-def _kind(spark: SparkSession, path: str) -> str | None:
-    """'dir', 'file' or None."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(where):
-        return None
-    return "dir" if system.getFileStatus(where).isDirectory() else "file"
+from .books import fb2_zones
 
 
 def read_texts(spark: SparkSession, paths: Sequence[str], extension: str | None = None, recursive: bool = False, start: int = 0) -> DataFrame:
@@ -26,7 +19,7 @@ def read_texts(spark: SparkSession, paths: Sequence[str], extension: str | None
     Folders are read flat unless ``recursive``; ``extension`` holds for files found in folders. Missing paths are
     reported on stderr and left out.
     """
-    kinds = {p: _kind(spark, p) for p in dict.fromkeys(paths)}
+    kinds = {p: storage.kind(spark, p) for p in dict.fromkeys(paths)}
     for p in (p for p, kind in kinds.items() if kind is None):
         print(f"{p} doesn't exist", file=sys.stderr)
     parts = []
@@ -39,3 +32,17 @@ def read_texts(spark: SparkSession, paths: Sequence[str], extension: str | None
         return spark.createDataFrame([], "doc_id long, path string, text string")
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return with_ids(every, ["_set", "path"], start).select("doc_id", "path", "text")
+
+
+#: Columns of documents from files; those of books that a plain text lacks are null.
+BOOK = ["author_first", "author_last", "genre", "author", "title", "annotation", "body"]
+
+
+def read_documents(spark: SparkSession, paths: Sequence[str], extension: str | None = None, recursive: bool = False, start: int = 0) -> DataFrame:
+    """(doc_id, path, author_first, author_last, genre, author, title, annotation, body): FB2 books by their zones, every other
+    file as body. Malformed books are left out; their ids aren't given to others."""
+    every = storage.checkpoint(read_texts(spark, paths, extension, recursive, start))
+    book = F.lower("path").endswith(".fb2")
+    books = fb2_zones(every.filter(book)).join(every.filter(book).select("doc_id", "path"), "doc_id")
+    plain = every.filter(~book).select("doc_id", "path", *[F.lit(None).cast("string").alias(c) for c in BOOK[:-1]], F.col("text").alias("body"))
+    return books.select("doc_id", "path", *BOOK).unionByName(plain)

@@ -165,7 +165,7 @@ def test_zones(spark):
     assert {r.doc_id: r.rating for r in rank.zone_search("!the", z, allow_negation=True).collect()} == {3: 0.0}
     with pytest.raises(UnsupportedQuery):
         rank.zone_search("the und", z)
-    p = {(r.term, r.doc_id): r.zones for r in I.postings(I.zoned_tokens(z)).collect()}
+    p = {(r.term, r.doc_id): r.zones for r in I.postings(z, I.present_zones(z.columns)).collect()}
     assert p["the", 1] == 15 and p["und", 2] == 10
 
 
@@ -220,9 +220,9 @@ def test_cli(tmp_path, capsys):
     (tmp_path / "b.txt").write_text("hello evening")
     assert main([str(tmp_path), "-s", "-x", "hello & !evening", "-x", "(a", "-x", "!hello"]) == 0
     out = capsys.readouterr()
-    assert "documents: 2" in out.out and out.out.strip().endswith("0") and "QuerySyntaxError" in out.err and "UnsupportedQuery" in out.err
+    assert "documents: 2" in out.out and out.out.strip().endswith("a.txt") and "QuerySyntaxError" in out.err and "UnsupportedQuery" in out.err
     assert main([str(tmp_path), "-m", "bm25", "-x", "world"]) == 0
-    assert capsys.readouterr().out.startswith("0 -- ")
+    assert "a.txt -- 0." in capsys.readouterr().out
 
 
 def test_books(spark):
@@ -244,7 +244,7 @@ def test_json_manifest_and_removal(spark, docs, tmp_path):
     index = I.Index.of(docs)
     index.save(str(tmp_path / "j"), kind="json")
     index.save(str(tmp_path / "p"), parts=3)
-    back = I.Index.load(spark, str(tmp_path / "j"), kind="json")
+    back = I.Index.load(spark, str(tmp_path / "j"))
     key = lambda df: sorted(tuple(r) for r in df.select("term", "doc_id", "tf", "zones", F.col("positions").cast("string")).collect())
     assert key(back.postings()) == key(index.postings())
     assert ids(planner.search("!hello", back)) == QUERIES["!hello"]
@@ -254,3 +254,139 @@ def test_json_manifest_and_removal(spark, docs, tmp_path):
     gone = spark.createDataFrame([(0,), (8,)], "doc_id long")
     for left in (index.without(gone), back.without(gone)):
         assert ids(planner.search("hello", left)) == [2] and 0 not in ids(planner.search("!zzz", left))
+
+
+def test_scores_where_the_average_length_or_a_norm_is_0(docs_of, spark, tmp_path):
+    docs = docs_of(["a b", None, "", "?"])  # two distinct words over four documents
+    assert rank.bm25(docs, "a b").collect() == [] and rank.bm25_search("a & !c", docs).collect() == []
+    I.Index.of(docs).save(str(tmp_path / "i"))
+    assert rank.bm25_index(I.Index.load(spark, str(tmp_path / "i")), "a b").collect() == []
+    same = docs_of(["a b", "a b"])  # each word in every document
+    x = vectors.tf_idf(same)
+    assert {(r.left_id, r.right_id): r.cosine for r in vectors.cosines(x, x).collect()} == {(a, b): 0.0 for a in (0, 1) for b in (0, 1)}
+    assert {tuple(r) for r in vectors.assign_leaders(x, vectors.select_leaders(same, 2)).collect()} == {(0, 0, 0.0), (1, 0, 0.0)}
+    mixed = vectors.tf_idf(docs_of(["a b", "a b c", "a"]))
+    got = {r.doc_id: (r.leader, r.cosine) for r in vectors.assign_leaders(mixed, spark.createDataFrame([(1,), (2,)], "doc_id long")).collect()}
+    assert got[1] == (1, 1.0) and got[0][0] == 1 and got[2] == (1, 0.0)
+
+
+def test_ranked_results_are_in_order(docs_of, spark, tmp_path):
+    docs = docs_of(["a", "b a", "a a b", "b c", "a", "c c c a"])
+    I.Index.of(docs).save(str(tmp_path / "i"))
+    index = I.Index.load(spark, str(tmp_path / "i"))
+    z = docs.select("doc_id", F.col("text").alias("body"), F.when(F.col("doc_id") % 2 == 0, "a").alias("title"))
+    for df in (rank.bm25(docs, "b c a"), rank.bm25_index(index, "b c a"), rank.bm25_search("b | c", docs), rank.bm25_search("b | c", index), rank.zone_search("a", z), rank.zone_search("a | b", z)):
+        got = [(-r.rating, r.doc_id) for r in df.collect()]
+        assert len(got) > 2 and got == sorted(got)
+    key = lambda df: [(r.doc_id, round(r.rating, 9)) for r in df.collect()]
+    for how in ("skip", "stop"):
+        assert key(rank.bm25(docs, "c a a", how)) == key(rank.bm25_index(index, "c a a", how))
+    assert key(rank.bm25_search("b & !c", docs)) == key(rank.bm25_search("b & !c", index))
+    assert key(rank.bm25_search("!c", docs, allow_negation=True)) == key(rank.bm25_search("!c", index, allow_negation=True))
+
+
+def test_saved_zones(spark, tmp_path, capsys):
+    z = spark.createDataFrame([(1, "the x", "the", "the", "the"), (2, None, "und", "", "the und"), (3, "", "", "", "x"), (4, None, None, None, None)], "doc_id long, author string, title string, annotation string, body string")
+    I.Index.of(z, zones=I.present_zones(z.columns)).save(str(tmp_path / "z"))
+    index = I.Index.load(spark, str(tmp_path / "z"))
+    key = lambda df: [(r.doc_id, round(r.rating, 9), r.compound_of) for r in df.collect()]
+    for q in ("the", "the | und", "the & und", "the & !und", "x | the", "zzz"):
+        assert key(rank.zone_search_index(q, index)) == key(rank.zone_search(q, z)), q
+    assert key(rank.zone_search_index("!the", index, allow_negation=True)) == key(rank.zone_search("!the", z, allow_negation=True))
+    assert ids(planner.search("x the", index)) == [1] and ids(planner.search("x und", index)) == [] and ids(planner.search("the und", index)) == [2] and ids(planner.search("the und", I.Index.of(z, zones=I.present_zones(z.columns)))) == [2]
+    capsys.readouterr()
+    rank.zone_search_index("the", index).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "In(term, [the])" in plan or "EqualTo(term,the)" in plan
+    rank.bm25_index(index, "the").explain("formatted")
+    plan = capsys.readouterr().out
+    assert plan.count("EqualTo(term,the)") + plan.count("In(term, [the])") >= 2 and "positions" not in plan.split("ReadSchema")[1].splitlines()[0]
+
+
+@pytest.mark.parametrize("options", [{"wildcards": [w]} for w in wildcard.STRATEGIES] + [{"delimiters": T.range_delimiters(4)}, {"positions": False, "bigrams": True}])
+def test_saved_index_structures(spark, docs, tmp_path, options):
+    I.Index.of(docs).save(str(tmp_path / "x"), parts=2, **options)
+    index = I.Index.load(spark, str(tmp_path / "x"))
+    for q, want in QUERIES.items():
+        if not options.get("positions", True) and "/" in q.replace("\\", "/"):
+            with pytest.raises(UnsupportedQuery):
+                planner.search(q, index)
+        else:
+            assert ids(planner.search(q, index)) == want, q
+    for pattern in ("he*", "*ing", "*o*", "h*l*o", "*", "e*g", "zz*"):
+        assert sorted(r.term for r in index.expand(pattern).collect()) == sorted(r.term for r in wildcard.expand(I.vocabulary(docs), pattern).collect())
+
+
+def test_index_without_positions_and_bigrams_asks_for_words(spark, docs, tmp_path):
+    I.Index.of(docs).save(str(tmp_path / "x"), positions=False)
+    assert ids(planner.search("hello evening", I.Index.load(spark, str(tmp_path / "x")))) == [0, 8]
+
+
+def test_saved_index_lives_by_its_manifest(spark, docs, tmp_path):
+    from lexigrain import storage
+    from lexigrain.streaming.append import append
+
+    path = str(tmp_path / "x")
+    I.Index.of(docs).save(path)
+    with pytest.raises(FileExistsError):
+        I.Index.of(docs).save(path)
+    (tmp_path / "x" / "batch-broken" / "documents").mkdir(parents=True)  # a batch that broke off doesn't count
+    assert I.Index.load(spark, path).totals()[0] == len(TEXTS)
+    more = spark.createDataFrame([("b", "hello again"), ("a", None)], "path string, text string")
+    assert append(spark, path, more) == len(TEXTS)
+    index = I.Index.load(spark, path)
+    assert ids(planner.search("hello", index)) == [0, 2, 8, 11] and ids(planner.search("!hello & !a", index)) == [1, 3, 4, 5, 9, 10]
+    I.Index.remove(spark, path, spark.createDataFrame([(2,), (11,), (99,)], "doc_id long"))
+    left = I.Index.load(spark, path)
+    assert ids(planner.search("hello", left)) == [0, 8] and left.totals()[0] == len(TEXTS)
+    assert {r.term: r.df for r in left.vocabulary().collect()}["hello"] == 2
+    want = rank.bm25(I.Index.load(spark, path).documents, "hello evening")
+    assert [(r.doc_id, round(r.rating, 9)) for r in rank.bm25_index(left, "hello evening").collect()] == [(r.doc_id, round(r.rating, 9)) for r in want.collect()]
+    assert append(spark, path, more) == len(TEXTS) + 2  # ids aren't given out anew
+    I.Index.delete(spark, path)
+    assert storage.names(spark, path) == []
+
+
+def test_gaps_over_many_partitions(spark):
+    rows = [(i * 3 % 997, "the rare" if i % 100 == 0 else "the") for i in range(997)]
+    got = I.posting_gaps(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    for term, of in (("the", sorted(i for i, _ in rows)), ("rare", sorted(i for i, t in rows if "rare" in t))):
+        assert sorted((r.doc_id, r.gap) for r in got if r.term == term) == [(d, d - (of[k - 1] if k else 0)) for k, d in enumerate(of)]
+
+
+def test_word_runs_against_plain_python(spark, docs):
+    from collections import defaultdict
+
+    r = __import__("random").Random(3)
+    texts = [" ".join(r.choice("a b c dd e_1 FF".split()) for _ in range(r.choice([0, 1, 5, 300]))) for _ in range(40)]
+    got = {(x.term, x.doc_id): (x.tf, x.length, x.positions) for x in I.postings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        at = defaultdict(list)
+        for k, w in enumerate(t.lower().split()):
+            at[w].append(k)
+        want |= {(w, i): (len(p), len(at), p) for w, p in at.items()}
+    assert got == want
+
+
+def test_books_among_files(spark, tmp_path, capsys):
+    from lexigrain.cli import main
+
+    book = "<FictionBook><description><title-info><author><first-name>Ann</first-name></author><book-title>hello</book-title></title-info></description><body><p>world</p></body></FictionBook>"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fb2").write_text(book)
+    (tmp_path / "in" / "b.txt").write_text("hello fictionbook")
+    (tmp_path / "in" / "c.fb2").write_text("<FictionBook><body>")
+    engine = SearchEngine.of_files(spark, [str(tmp_path / "in")])
+    assert ids(engine.search("fictionbook")) == [1]
+    path = str(tmp_path / "index")
+    engine.save(path)
+    for e in (engine, SearchEngine.load(spark, path)):
+        assert [(r.doc_id, round(r.rating, 9)) for r in e.search_zones("hello").collect()] == [(0, 0.3), (1, 0.1)]
+        assert [r.path.rsplit("/", 1)[1] for r in e.with_documents(e.search_zones("hello")).collect()] == ["a.fb2", "b.txt"]
+        assert e.stats().first().documents == 2
+    assert main([str(tmp_path / "in"), "-m", "zones", "-x", "hello", "-o", str(tmp_path / "i2"), "-w", "trigram", "--bigrams"]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0].endswith("a.fb2 -- 0.3") and out[1].endswith("b.txt -- 0.1")
+    assert main(["--from", str(tmp_path / "i2"), "-x", "hel*", "-x", "hello fictionbook"]) == 0
+    assert [x.rsplit("/", 1)[1] for x in capsys.readouterr().out.splitlines()] == ["a.fb2", "b.txt", "b.txt"]
