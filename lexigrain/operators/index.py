@@ -226,32 +226,39 @@ class Index:
         """Write the documents as a batch more, and a manifest that names it: documents and postings count together or not at all."""
         spark, kind, batch = self.documents.sparkSession, info["kind"], f"batch-{uuid.uuid4().hex}"
         parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        folder, staged = f"{path}/{batch}", f"{path}/.staged-{uuid.uuid4().hex}"
-        self.documents.write.format(kind).save(f"{folder}/documents")
+        folder = f"{path}/{batch}"
+        storage.spread(self.documents).write.format(kind).save(f"{folder}/documents")
         documents = _documents(spark, folder, info)
-        # ranges are drawn from a copy, so that texts are split once
-        postings(documents, self.zones).drop(*([] if info["positions"] else ["positions"])).write.parquet(staged)
-        made = spark.read.parquet(staged)
+
+        def staged(df: DataFrame) -> DataFrame:
+            """A copy, from which ranges are drawn: nothing is computed twice."""
+            place = f"{path}/.staged-{uuid.uuid4().hex}"
+            df.write.parquet(place)
+            copies.append(place)
+            return spark.read.parquet(place)
 
         def write(df: DataFrame, name: str, *by: str, folders: Sequence[str] = ()) -> None:
             out = df.repartitionByRange(parts, *folders, *by).sortWithinPartitions(*folders, *by).write.format(kind)
             (out.partitionBy(*folders) if folders else out).save(f"{folder}/{name}")
 
+        copies: list[str] = []
+        made = staged(postings(documents, self.zones).drop(*([] if info["positions"] else ["positions"])))
         if info["delimiters"]:
             write(made.withColumn("range_id", range_of(F.col("term"), info["delimiters"])), "postings", "term", "doc_id", folders=["range_id"])
         else:
             write(made, "postings", "term", "doc_id")
-        write(_vocabulary(made), "terms", "term")
+        write(staged(_vocabulary(made)), "terms", "term")
         terms = _reader(spark, kind, TABLES["terms"]).load(f"{folder}/terms").select("term")
         if info["bigrams"]:
-            write(bigrams(documents, self.zones), "bigrams", "prev", "term", "doc_id")
+            write(staged(bigrams(documents, self.zones)), "bigrams", "prev", "term", "doc_id")
         for strategy in info["wildcards"]:
             name = wildcard.TABLES[strategy]
             write(wildcard.index_table(terms, strategy), name, TABLES[name].split()[0], "term")
         stored = _reader(spark, kind, _postings_schema(info)).load(f"{folder}/postings")
         ranges = stored.groupBy(F.input_file_name().alias("file")).agg(*([F.max("range_id").alias("range_id")] if info["delimiters"] else []), F.min("term").alias("first_term"), F.max("term").alias("last_term"), F.count("*").alias("rows"))
         ranges.coalesce(1).write.format(kind).save(f"{folder}/ranges")
-        storage.delete(spark, staged)
+        for place in copies:
+            storage.delete(spark, place)
         n = documents.agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).first()
         last = n.last + 1 if isinstance(n.last, int) else 0
         batches = [*info["batches"], {"name": batch, "documents": n.n, "postings": stored.count()}]

@@ -14,7 +14,7 @@ from .operators.sets import DocSet
 from .plans import planner
 from .session import ship
 from .sources import books
-from .storage import names, scratch
+from .storage import names, scratch, spread
 from .streaming.append import append
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,12 +43,12 @@ def register(name: str, sql: str | None):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return books.page_zones(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return books.page_zones(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 _saved: dict[tuple[str, str, str], str] = {}

@@ -88,6 +88,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table out anew where it comes in fewer partitions than there are cores, as a small file of one row group does. A
+    large table stays in the partitions that it is stored in."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """A checkpointed or cheap table, to be broadcast where its counted rows fit BROADCAST_BYTES, else as the planner likes."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
