@@ -1,8 +1,7 @@
-"""Helpers that the operators share: shared folders, checkpoints, Arrow batches and skew-safe grouping."""
+"""Helpers that the operators share: Arrow batches, and joins and grouping that hot keys don't slow down."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -10,16 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..storage import BROADCAST_BYTES, checkpoint, join_small, spread
 
 #: Rows that one Arrow batch may hold; whole texts of some 100 KB each still stay far below Arrow's 2 GB.
 ARROW_ROWS = 1000
-#: Bytes up to which a side is broadcast. Beyond it the join is left to the planner.
-BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -30,23 +28,15 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, rows)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one in local mode only."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lexigrain-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared folder; it outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many _ in front as the table's columns (whatever their case) and the other names ask for."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def text_udf(schema: str, start: Callable[[], Callable[[list], dict[str, pa.Array]]], rows: int = 256):
@@ -74,20 +64,29 @@ def text_udf(schema: str, start: Callable[[], Callable[[list], dict[str, pa.Arra
     return run.asNondeterministic()
 
 
-def join_small(left: DataFrame, right: DataFrame, on: Sequence[str], row_bytes: int, how: str = "left") -> DataFrame:
-    """Join with a checkpointed ``right``: broadcast where its counted rows fit BROADCAST_BYTES, else as the planner likes."""
-    return left.join(F.broadcast(right) if right.count() * row_bytes <= BROADCAST_BYTES else right, list(on), how)
+def attach(left: DataFrame, right: DataFrame, on: Sequence[str], count: str, most: int = 100_000, row_bytes: int = 64) -> DataFrame:
+    """Join every row of ``left`` with its row of ``right``, which is unique by ``on`` and whose ``count`` says how many rows of left
+    have the key. Where right fits a broadcast it is; else keys with more rows than a ``most``-th of all are, of which there are
+    fewer than ``most``, and only the others are shuffled. No key's rows meet in one task. Both sides are read several times."""
+    size = right.agg(F.count("*"), F.coalesce(F.sum(count), F.lit(0))).first()
+    bare = right.drop(count)
+    if size[0] * row_bytes <= BROADCAST_BYTES:
+        return left.join(F.broadcast(bare), list(on))
+    limit = max(1000, size[1] // most)
+    hot, cold = right.filter(F.col(count) > limit).drop(count), right.filter(F.col(count) <= limit).drop(count)
+    rest = left.join(F.broadcast(hot.select(*on)), list(on), "left_anti").join(cold, list(on))
+    return left.join(F.broadcast(hot), list(on)).unionByName(rest)
 
 
-def grouped_blocks(df: DataFrame, keys: Sequence[str], spread: Column, limit: int, partitions: int | None = None) -> DataFrame:
+def grouped_blocks(df: DataFrame, keys: Sequence[str], spread: Column, limit: int, partitions: int | None = None, weight: Column | None = None) -> DataFrame:
     """Deal rows out by ``keys`` so that mapInArrow can compare the rows of a key, whatever its size.
 
-    Adds blk_a, blk_b and own. A key of at most ``limit`` rows is one group (0, 0). A larger key is cut by the hash
+    Adds blk_a, blk_b and own. A key of at most ``limit`` rows (or sum of ``weight``) is one group (0, 0). A larger key is cut by the hash
     of ``spread`` into blocks of about ``limit`` / 2 rows and goes out as one group for each pair of blocks, so every two
     rows of a key meet: rows of one block in (a, a), rows of different blocks in (a, b). ``own`` is a row's block.
     Partitions come sorted by keys, blk_a, blk_b. No row is dropped.
     """
-    hot = checkpoint(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit))
+    hot = checkpoint(df.groupBy(*keys).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n")).filter(F.col("_n") > limit))
     none = [F.lit(0).alias("blk_a"), F.lit(0).alias("blk_b"), F.lit(0).alias("own")]
     if hot.isEmpty():
         out = df.select("*", *none)

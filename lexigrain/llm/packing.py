@@ -1,17 +1,19 @@
 """Packing of tokenised documents into sequences of a fixed length.
 
 Method: first-fit decreasing with a tournament tree of bin capacities, run independently in randomised groups of
-documents. A document is tokenised where it is read; its full-length pieces are sequences of their own, and only the
-length and checksum of its last, shorter piece are shuffled to its group. A group's pieces are placed longest first, each in
-the leftmost sequence with room, which the tree finds in logarithmic time. Groups are drawn by hash, so a hot source
-spreads evenly, and their number follows the number of documents.
+documents. A document is tokenised where it is read and cut into pieces; of each piece only numbers (place, length, checksum)
+are shuffled to its document's group. A group's pieces are placed longest first, each in the leftmost sequence with room, which
+the tree finds in logarithmic time; full-length pieces fill sequences of their own. Groups are drawn by a hash of id and row
+number, so a hot source and copies of one row spread evenly, and their number follows the number of documents.
 
-Token ids come from a byte-level BPE vocabulary in the tokenizers JSON format. White-space-led chunks of a text are
-independent in it, so chunks are encoded once and cached; they are compared with the tokenizers library in each batch.
+Token ids are those of the tokenizers library for a byte-level BPE vocabulary in its JSON format, special tokens in a text
+included. White-space-led chunks of a text are independent in it, so chunks are encoded once and cached; texts with a special
+token's string, and all texts of a file with another splitting than the common one, go through the library itself. In each batch
+one whole text, another place in the batch each time, is compared with the library.
 
 Defined cases: null text is the empty text, whose only id is the end id; repeated rows are packed as documents of
 their own (a null or repeated id is kept as it is); an empty table gives an empty result; columns other than id and text are
-not read.
+not read. Rows are numbered as they are read: the table must give them in the same partitions each time, as stored ones do.
 """
 
 from __future__ import annotations
@@ -37,17 +39,20 @@ GROUP_DOCS = 20_000
 
 
 class ByteTokenizer:
-    """Ids of a byte-level BPE vocabulary, equal to the tokenizers library's without special tokens."""
+    """Ids of a byte-level BPE vocabulary, equal to the tokenizers library's without added ones."""
 
     def __init__(self, path: str, cache: int = CACHE):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.theirs = Tokenizer.from_file(path)
-        self.theirs.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", [])}
+        split = spec.get("pre_tokenizer") or {}
+        self.common = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        self.special = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)")
+        self.turn = 0
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
@@ -84,6 +89,9 @@ class ByteTokenizer:
         for i, text in enumerate(texts):
             if not text:
                 continue
+            if not self.common or self.special.search(text):
+                out[i] = self.by_library(text)
+                continue
             keys = self.split(text)
             found = [get(k) for k in keys]
             if None in found or "\0" in text:
@@ -102,8 +110,16 @@ class ByteTokenizer:
         self._learn(list(new))
         for i, keys in open_texts:
             out[i] = b"".join([known[k] for k in keys])
+        if texts:
+            self.turn += 1
+            probe = self.turn * 7919 % len(texts)
+            if out[probe] != self.by_library(texts[probe]):
+                raise ValueError(f"the chunk encoder and the tokenizers library differ on a text that begins with {texts[probe][:80]!r}")
         return out
 
+    def by_library(self, text: str) -> bytes:
+        return np.array(self.theirs.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _learn(self, new: list[str]) -> None:
         known, runs = self.known, []  # chunks that begin with white space and end otherwise can be encoded in one go
         for k in new:
@@ -115,8 +131,6 @@ class ByteTokenizer:
             part = runs[i : i + 2000]
             joined = "".join([c for _, c in part])
             ids = np.array(self.bpe.encode_ordinary(joined), "<u4")
-            if i == 0 and self.theirs.encode(head := "".join([c for _, c in part[:50]]), add_special_tokens=False).ids != self.bpe.encode_ordinary(head):
-                raise ValueError("the chunk encoder and the tokenizers library differ")
             ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for _, c in part])
             cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
             raw, at = ids.tobytes(), 0
@@ -154,7 +168,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pieces(df: DataFrame, tokenizer: str, end_id: int, length: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, doc_tokens, start, length, ids_crc32) of the pieces of every whole text, cut each ``length`` ids."""
+    """(id, _row, doc_tokens, start, length, ids_crc32) of the pieces of every whole text, cut each ``length`` ids."""
     bounded_batches(df.sparkSession)
     kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -171,7 +185,8 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, length: int, id_col: str,
         return cut
 
     udf = text_udf("struct<doc_tokens: bigint, pieces: array<struct<start: bigint, length: bigint, ids_crc32: bigint>>>", start)
-    return df.select(id_col, udf(text_col).alias("_r")).select(id_col, "_r.doc_tokens", F.explode("_r.pieces").alias("_p")).select(id_col, "doc_tokens", "_p.*")
+    made = df.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), udf(text_col).alias("_r"))
+    return made.select(id_col, "_row", "_r.doc_tokens", F.explode("_r.pieces").alias("_p")).select(id_col, "_row", "doc_tokens", "_p.*")
 
 
 def pack(df: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
@@ -182,7 +197,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, gro
     groups = max(1, -(-df.count() // group_docs))
     cut = pieces(df, tokenizer, end_id, length, id_col, text_col)
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("ids_crc32"), F.col("start")), F.lit(groups))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("_row")), F.lit(groups))
     dealt = cut.select(*names, drawn.alias("_g")).repartition(min(groups, 10_000), "_g").sortWithinPartitions("_g", F.desc("length"), id_col, "start", "ids_crc32")
     kind = dealt.select(*names, F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")).schema
 

@@ -8,14 +8,15 @@ from . import embedding_dedup, langid, media, packing, pii, sentencepiece_codec,
 from .common import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,14 +19,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, join_small, shared_dir
+from ..storage import scratch
+from .common import bounded_batches, checkpoint, join_small
 
 #: Fixed values of the formats: gzip's magic, an empty member, how a record begins, and the profile of identical payloads.
 MAGIC = b"\x1f\x8b\x08"
@@ -216,5 +216,4 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, payload
 
 def archive_round_trip(pages: DataFrame, **columns) -> DataFrame:
     """Write all pages to a new folder in the shared one and read the archives back."""
-    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read(pages.sparkSession, write(pages, path, **columns))
+    return read(pages.sparkSession, write(pages, scratch(pages.sparkSession, "warc"), **columns))

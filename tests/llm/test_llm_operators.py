@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm import embedding_dedup, langid, media, packing, pii, sentencepiece_codec, sharding, simhash, toxicity, warc
 from lexigrain.llm.components import connected_components
-from lexigrain.llm.queries import _vocabulary
+from lexigrain.llm.queries import vocabulary
 
 WORDS = "the of und der pour anat reing nation erbe ciónes éleo thnded".split()
 
@@ -25,7 +25,7 @@ def random_text(r, n):
 @pytest.fixture(scope="module")
 def texts():
     r = random.Random(4)
-    out = [None, "", " ", "  a  b \n\n c", "x" * 5000, "7", "日本語 ▁ \0 😀", "a\tb", "-", "<|endoftext|> </s>"]
+    out = [None, "", " ", "  a  b \n\n c", "x" * 5000, "7", "日本語 ▁ \0 😀", "a\tb", "-", "<|endoftext|> </s>", "a <|endoftext|><|endoftext|>b \n<|endoftext|> the"]
     out += [random_text(r, r.choice([1, 3, 40, 700])) for _ in range(60)]
     long = random_text(r, 9000)
     return [*out, long, long, long.replace("the", "die", 1), out[15], None]
@@ -50,7 +50,7 @@ def by_id(df, key="doc_id"):
 def test_sentencepiece(docs, empty, texts):
     import sentencepiece
 
-    model = _vocabulary("piece_bpe_32k.model")
+    model = vocabulary("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     got = by_id(sentencepiece_codec.encode_digests(docs, model))
     assert len(got) == len(texts)
@@ -65,7 +65,7 @@ def test_sentencepiece(docs, empty, texts):
 
 
 def test_sentencepiece_small_cache_and_heap(texts):
-    model = _vocabulary("piece_bpe_32k.model")
+    model = vocabulary("piece_bpe_32k.model")
     work = sentencepiece_codec.encoder(model, cache=20)
     codec = work.codec
     for t in texts:
@@ -213,9 +213,8 @@ def test_warc_false_magic_and_broken_record(tmp_path):
 def test_packing(docs, empty, texts):
     from tokenizers import Tokenizer
 
-    path = _vocabulary("byte_bpe_50k.json")
+    path = vocabulary("byte_bpe_50k.json")
     theirs = Tokenizer.from_file(path)
-    theirs.encode_special_tokens = True
     got = packing.pack(docs, path, group_docs=30).collect()
     pieces, sequences = {}, {}
     for r in got:
@@ -239,6 +238,16 @@ def test_packing(docs, empty, texts):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_spreads_a_repeated_row(spark):
+    df = spark.createDataFrame([(7, "a b c the of") for _ in range(4000)], "doc_id long, text string").repartition(3)
+    got = packing.pack(df, vocabulary("byte_bpe_50k.json"), group_docs=200).collect()
+    groups = {}
+    for r in got:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert len(got) == 4000 and len(groups) == 20 and max(groups.values()) < 400
+    assert len({(r.sequence_id, r.offset) for r in got}) == 4000
+
+
 def test_first_fit_decreasing():
     r = random.Random(2)
     for n in (1, 2, 7, 300):
