@@ -93,6 +93,11 @@ _PII = {
         "NOT regexp_matches(right(g, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(a, 1), '[A-Za-z0-9]') AND NOT (g = '' AND i > 1) AND NOT (a = '' AND i < n) AND "
         "list_reduce(list_transform(string_split(substr(replace(x, ' ', ''), 5) || substr(replace(x, ' ', ''), 1, 4), ''), lambda c: coalesce(TRY_CAST(c AS INT), ascii(c) - 55)), lambda z, v: (z * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1",
     ),
+    "ssn": (
+        r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+        "NOT regexp_matches(right(g, 1), '[A-Za-z0-9-]') AND NOT regexp_matches(left(a, 1), '[A-Za-z0-9-]') AND NOT (g = '' AND i > 1) AND NOT (a = '' AND i < n) AND "
+        f"NOT regexp_matches(x, '^(?:000|666|9)|-00-|-0000$') AND regexp_matches(lower(right(g, {pii.CONTEXT})), '{pii.WORDS['ssn']}')",
+    ),
 }
 
 

@@ -405,7 +405,7 @@ def base_by_hand(text):
 
 def pii_texts():
     r = random.Random(6)
-    bits = ["a@b.c", "x.y%z@h-1.example.com", "a@b", "@", "+1 (555) 123-4567", "+1", "127.0.0.1", "300.1.1.1", "1.2.3.4.5.6.7.8", "0001.2.3.004", "4111 1111 1111 1111", "4111111111111112", "4111-1111-1111-1111", "79927398713", " ", "é😀", "\n", ".", "-", "_", "GB82 WEST 1234 5698 7654 32", "iban", "DE89370400440532013000", "x", "9" * 30, "a@b.c_d@e.f.g", "..@..", "+49 (0)30 1234567"]
+    bits = ["a@b.c", "x.y%z@h-1.example.com", "a@b", "@", "+1 (555) 123-4567", "+1", "127.0.0.1", "300.1.1.1", "1.2.3.4.5.6.7.8", "0001.2.3.004", "4111 1111 1111 1111", "4111111111111112", "4111-1111-1111-1111", "79927398713", " ", "é😀", "\n", ".", "-", "_", "GB82 WEST 1234 5698 7654 32", "iban", "DE89370400440532013000", "x", "9" * 30, "a@b.c_d@e.f.g", "..@..", "+49 (0)30 1234567", "123-45-6789", "000-45-6789", " ssn ", "SSN: 219-09-9999", "social security 5"]
     out = [None, "", "a@" + "b." * 3000 + "c", "a" * 20000, "1" * 20000, ("1" * 30 + ".") * 200, "+1" + "(" * 5000, "a@b.c " * 300]
     return out + ["".join(r.choice(bits) for _ in range(r.randint(1, 14))) for _ in range(1500)]
 
@@ -440,6 +440,26 @@ def test_personal_data(spark):
     assert pii.digests(df.limit(0)).count() == 0 and pii.redact(df).columns == df.columns
 
 
+def test_very_many_spans_in_one_text(spark):
+    import time
+
+    text = "é a@b.c, 192.168.0.1 and +1 555 123 4567\n"
+    df = spark.createDataFrame([(1, text * 20_000, 5, 6), (2, text, 5, 6)], "doc_id long, text string, spans int, _m_email int").repartition(2)
+    began = time.time()
+    got = by_id(pii.digests(df))
+    assert (got[1].n_email, got[1].n_ip, got[1].n_phone) == (20_000, 20_000, 20_000)
+    assert got[1].spans.endswith(":".join(["phone", str(len(text) * 19_999 + text.index("+")), str(len(text) * 20_000 - 1)]))
+    kept = by_id(pii.redact(df))
+    assert kept[1].text == "é [EMAIL], [IP] and [PHONE]\n" * 20_000 and kept[2][2:] == (5, 6)
+    assert time.time() - began < 60
+
+
+def test_context_decides_what_a_number_is(spark):
+    rows = [(0, "her SSN is 219-09-9998"), (1, "part 219-09-9998"), (2, "ssn 000-09-9998"), (3, "ssn 219-09-99981"), (4, "ssn" + " x" * 30 + " 219-09-9998"), (5, "lessn 219-09-9998"), (6, "Seguro Social: 219-09-9998")]
+    got = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i for i in got if [s.kind for s in got[i].spans] == ["ssn"]} == {0, 6} and all(not got[i].spans for i in (1, 2, 3, 4, 5))
+
+
 def test_personal_data_sql_on_odd_texts(spark, tmp_path):
     from oracle import difference
 
