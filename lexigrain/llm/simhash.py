@@ -2,8 +2,9 @@
 
 Method: a byte-position inverted index with count filtering. Fingerprints of 64 bits that differ in at most 4 bits
 share at least 4 of their 8 positional bytes; that is the guaranteed minimum. The index is keyed by combinations of 3 of
-the first 7 positional bytes (two fingerprints that share 4 of 8 bytes share 3 of any 7), so its lists stay short. In a
-list the shared positional bytes of a pair are tallied, pairs that reach 4 are kept, and the bits of those are verified.
+the first 7 positional bytes (two fingerprints that share 4 of 8 bytes share 3 of any 7) rather than by single bytes, whose lists
+would hold a 256th of all rows each. So the tally isn't a count over single bytes' lists: pairs that meet in a list have
+all their shared positional bytes tallied there, those that reach 4 are kept, and the bits of these are verified.
 
 Only distinct fingerprints are indexed, so exact copies cost nothing. A list's links are reduced to a star per connected
 part before they leave the task: from an unvisited fingerprint all unvisited ones within 4 bits are taken up, then
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, grouped_blocks, text_udf, whole_groups
+from .common import attach, bounded_batches, checkpoint, grouped_blocks, text_udf, whole_groups
 from .components import connected_components
 
 #: Fixed by the method: positional bytes, bytes in a key and positions keys are drawn from.
@@ -151,18 +152,9 @@ def fingerprint_components(docs: DataFrame, bits: int = 4, list_rows: int = LIST
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, seed: int = 42, list_rows: int = LIST_ROWS) -> DataFrame:
     """(id, fingerprint, component_id) of every row."""
     docs = checkpoint(document_fingerprints(df.select(id_col, text_col), id_col, text_col, words, seed))
-    joined = fingerprint_components(docs, bits, list_rows).join(docs.groupBy("fp").agg(F.min(id_col).alias("first")), "fp")
-    smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = joined.join(smallest, "component").select("fp", "component_id")
-    return docs.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
-    """One row of each group of near duplicates, with all its columns: the one with the smallest id, null ids last, and of
-    rows that repeat it the first. ``df`` must give its rows in the same partitions each time, as stored tables do."""
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    docs = checkpoint(document_fingerprints(numbered.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__row"), "id", "text", words, seed))
-    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("__row").alias("row"))
-    firsts = docs.groupBy("fp").agg(F.min(order).alias("_o"))  # combined before the shuffle, however many copies there are
-    kept = firsts.join(fingerprint_components(docs, bits), "fp").groupBy("component").agg(F.min("_o").alias("_o")).select(F.col("_o.row").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    firsts = docs.groupBy("fp").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n"))  # combined before the shuffle
+    joined = checkpoint(fingerprint_components(docs, bits, list_rows).join(firsts, "fp"))
+    smallest = checkpoint(joined.groupBy("component").agg(F.min("_first").alias("component_id"), F.count("*").alias("_m")))
+    # a component may have very many fingerprints, and a fingerprint very many rows
+    named = checkpoint(attach(joined.select("fp", "component", "_n"), smallest, ["component"], "_m").select("fp", "component_id", "_n"))
+    return attach(docs, named, ["fp"], "_n").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
