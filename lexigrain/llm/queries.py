@@ -8,6 +8,10 @@ from . import embedding_dedup, langid, media, packing, pii, sentencepiece_codec,
 from .common import table
 
 
+#: Byte limit of op3's shards: small, so that tables of any size split.
+SHARD_BYTES = 128 << 10
+
+
 def vocabulary(name: str) -> str:
     """Place of a public tokenizer's file."""
     import public_tokenizers
@@ -24,7 +28,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(table(spark, sf_dir, "documents"))
+    return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +73,7 @@ k AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT u, count(*) AS n
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, coalesce(id = c, false) AS kept FROM k LEFT JOIN n ON u = id"""
 
 
-def shards_sql(limit: int = sharding.LIMIT) -> str:
+def shards_sql(limit: int = SHARD_BYTES) -> str:
     return f"""WITH RECURSIVE d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS doc_bytes,
 CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
 w AS (SELECT doc_id, doc_bytes, h, 0 AS depth, sum(doc_bytes) OVER () AS b, count(*) OVER () AS n FROM d

@@ -3,14 +3,14 @@
 Method: a directory indexed by bits of a hash prefix. Only a bucket above the byte limit splits, on one more bit, until
 every shard fits. The directory is computed from the bytes of hash prefixes, eight levels at a time: a bucket is the
 shallowest prefix that fits although its parent doesn't. Documents of buckets that still are too large go on to the next
-eight levels. Byte counts are summed before the shuffle, so hot buckets cost no more than others, and texts never move.
+eight levels. Byte counts are summed before the shuffle, so hot buckets cost no more than others, and the directory needs no text.
 
 The hash has 120 bits: 60 of the MD5 of the id, then 60 of the MD5 of the row's number, so rows that repeat one id split
 as well. A shard is named by its prefix of 0 and 1; the empty prefix is the whole table.
 
 Defined cases: null text has 0 bytes; a null id hashes as the empty string; a document above the limit has a shard of its
 own, which is the one case of a shard above the limit; an empty table gives an empty directory; columns other than id and
-text are not read by ``shards``, and ``assign`` keeps all columns.
+text are not read by ``shards``, and ``write_shards`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from ..storage import scratch
+from .common import checkpoint, free
 
 #: Levels of the directory that one pass decides, and bits in the hash.
 STEP, BITS = 8, 120
@@ -78,11 +79,21 @@ def shards(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
 
 
 def write_shards(df: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write every row to ``path`` as Parquet, one folder s<shard_id> for each shard. Returns the directory's rows."""
-    numbered = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
-    hashed = numbered.withColumn("_h", hash_bits(id_col))
+    """Write every row to ``path`` as Parquet, one folder s<shard_id> for each shard, named by a column shard (with _ in front
+    where the table has one). Returns the directory: (shard_id, depth, shard_bytes, shard_docs).
+
+    The rows are numbered in a copy in the shared folder, which both the directory and the shards are made from; texts are
+    shuffled once, to their shards, none of which is above the limit."""
+    spark, (shard,) = df.sparkSession, free(df, "shard")
+    copy = scratch(spark, "numbered")
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")
-    placed = lookup(hashed.drop("_row"), directory(hashed.select("_h", size.alias("_b")), limit))
-    named = placed.drop("depth", "shard_bytes", "shard_docs").withColumn("shard", F.concat(F.lit("s"), "shard_id")).drop("shard_id")
-    named.repartition("shard").write.partitionBy("shard").parquet(path)
-    return placed.select("shard_id", "depth", "shard_bytes", "shard_docs").distinct()
+    df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), size.alias("_b"), F.monotonically_increasing_id().alias("_row")).write.parquet(copy)
+    hashed = spark.read.parquet(copy).withColumn("_h", hash_bits("id"))
+    tables = directory(hashed.select("_h", "_b"), limit)
+    placed = lookup(hashed.select("row", "_h"), tables)
+    placed.select("row.*", F.concat(F.lit("s"), "shard_id").alias(shard)).repartition(shard).write.partitionBy(shard).parquet(path)
+    names = ["shard_id", "depth", "shard_bytes", "shard_docs"]
+    found = tables[0][1].select(*names)
+    for _, t in tables[1:]:
+        found = found.unionByName(t.select(*names))
+    return found.distinct().filter("shard_docs > 0")
