@@ -5,7 +5,7 @@ bytes the one with the smallest id is a response, the others are revisits that r
 Spark's text writer stores their raw bytes with its commit protocol; the separator it needs between rows is an empty
 gzip member, which decoders skip. Payload digests are SHA-256.
 
-Reading: files are cut into byte ranges. A task scans its range for the gzip magic, validates each candidate by inflating
+Reading: files are cut into byte ranges, which are dealt to tasks. A task scans its range for the gzip magic, validates each candidate by inflating
 its start and looking for a WARC version line, and owns the records that start inside its range; it reads beyond the range's
 end to finish the last one. A false magic is passed over; a record that breaks off or whose checksum is wrong raises an error.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import scratch
-from .common import bounded_batches, checkpoint, join_small
+from .common import BROADCAST_BYTES, bounded_batches, checkpoint
 
 #: Fixed values of the formats: gzip's magic, an empty member, how a record begins, and the profile of identical payloads.
 MAGIC = b"\x1f\x8b\x08"
@@ -37,6 +37,8 @@ DATE = "2020-01-01T00:00:00Z"
 MIN_BYTES = 100
 #: Bytes of members in one written row, of a reader's range, and read at once beyond it.
 RUN_BYTES, RANGE_BYTES, MORE_BYTES = 4 << 20, 32 << 20, 1 << 20
+#: Tasks of a reader at most; with more ranges each takes several.
+TASKS = 20_000
 #: Bytes inflated at once.
 STEP_BYTES = 16 << 10
 
@@ -60,14 +62,25 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def with_refers(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Add _digest and _refers_to. Only payloads that several pages share are gathered, without their html."""
+    """Add _digest and _refers_to. Only payloads that several pages share are gathered, without their html. Pages are joined with
+    these by broadcast while they are few; beyond that a payload that very many pages share is still broadcast, so no
+    payload's pages meet in one task."""
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     digest = F.sha2(html, 256)
     shared = pages.filter(F.octet_length(html_col) >= min_bytes).groupBy(digest.alias("_digest")).agg(F.min(id_col).alias("_first"), F.count("*").alias("_n"))
-    shared = checkpoint(shared.filter("_n > 1").select("_digest", "_first"))
-    marked = join_small(pages.withColumn("_digest", digest), shared, ["_digest"], 128)
+    shared = checkpoint(shared.filter("_n > 1"))
+    marked = pages.withColumn("_digest", digest)
+    if shared.count() * 128 <= BROADCAST_BYTES:
+        found = marked.join(F.broadcast(shared.drop("_n")), "_digest", "left")
+    else:
+        limit = max(1000, shared.agg(F.sum("_n")).first()[0] // 100_000)
+        hot = F.broadcast(shared.filter(F.col("_n") > limit).select("_digest", F.col("_first").alias("_hot")))
+        cold = shared.filter(F.col("_n") <= limit).select(F.col("_digest").alias("_cold"), "_first")
+        # rows that are decided by now get a key of their own, which nothing matches
+        keyed = marked.join(hot, "_digest", "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col("_digest")).otherwise(F.uuid()))
+        found = keyed.join(cold, F.col("_key") == F.col("_cold"), "left").withColumn("_first", F.coalesce("_hot", "_first")).drop("_hot", "_key", "_cold")
     long_enough = F.octet_length(html) >= min_bytes
-    return marked.withColumn("_refers_to", F.when(long_enough & (F.col(id_col) != F.col("_first")), F.col("_first"))).drop("_first")
+    return found.withColumn("_refers_to", F.when(long_enough & (F.col(id_col) != F.col("_first")), F.col("_first"))).drop("_first")
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, level: int = 1) -> str:
@@ -189,10 +202,10 @@ def parse(raw: bytes) -> dict:
 def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, payloads: bool = False) -> DataFrame:
     """Records of all files in ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to, and on request
     url and payload (empty for revisits)."""
-    ranges = [(f, a, min(a + range_bytes, size)) for f, size in files(spark, path) for a in range(0, size, range_bytes)]
+    found = [(f, size) for f, size in files(spark, path) if size]
+    count = sum(-(-size // range_bytes) for _, size in found)
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payloads
-    work = spark.createDataFrame(ranges, "file string, begin long, end long")
-    if not ranges:
+    if not found:
         return spark.createDataFrame([], schema)
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -211,7 +224,10 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, payload
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return work.repartition(len(ranges)).mapInArrow(scan, schema)
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long")))
+    work = spark.createDataFrame(found, "file string, size long").select("file", begin.alias("begin"), "size")
+    work = work.select("file", "begin", F.least(F.col("begin") + range_bytes, "size").alias("end"))
+    return work.repartition(min(count, TASKS)).mapInArrow(scan, schema)
 
 
 def archive_round_trip(pages: DataFrame, **columns) -> DataFrame:

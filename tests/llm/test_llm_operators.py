@@ -123,13 +123,53 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(1)
     unit = rng.standard_normal((400, 64))
     unit /= np.linalg.norm(unit, axis=1)[:, None]
-    turned, sign, factor = embedding_dedup.encode(unit, 4)
-    upper = embedding_dedup.upper_bounds(sign, factor, turned)
-    truth = unit @ unit.T
-    assert (upper >= truth).mean() > 0.9999
-    spread = embedding_dedup.SURE * np.sqrt(((1 - factor**2) / factor**2 / 63).sum(1)) / 4
-    off = ~np.eye(400, dtype=bool)
-    assert abs((upper - spread[:, None] - truth)[off].mean()) < 2e-3
+    code, factor = embedding_dedup.encode(unit, 4)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(400), np.arange(400)))
+    estimate, spread = embedding_dedup.estimates(code[i], factor[i], unit[j])
+    truth = (unit[i] * unit[j]).sum(1)
+    off = i != j
+    assert (estimate + embedding_dedup.SURE * spread >= truth).mean() > 0.9999
+    assert abs((estimate - truth)[off].mean()) < 2e-3 and abs(((estimate - truth) / spread)[off].std() - 1) < 0.1
+
+
+@pytest.mark.parametrize("dim,bits", [(16, 8), (64, 12), (64, 20), (5, 3)])
+def test_no_pair_at_the_threshold_is_left_out(dim, bits):
+    rng = np.random.default_rng(dim + bits)
+    n, threshold = 4000, 0.98
+    a = rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.standard_normal((n, dim))
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    b = threshold * a + math.sqrt(1 - threshold**2) * b  # exactly at the threshold
+    _, bands = embedding_dedup.plan(embedding_dedup.LIST_AIM << bits, threshold)
+    assert embedding_dedup.plan(embedding_dedup.LIST_AIM << bits, threshold)[0] == bits
+    (ca, fa), (cb, _) = embedding_dedup.encode(a, -(-bands * bits // dim)), embedding_dedup.encode(b, -(-bands * bits // dim))
+    same = (embedding_dedup.band_keys(ca, bands, bits) == embedding_dedup.band_keys(cb, bands, bits)).any(1)
+    estimate, spread = embedding_dedup.estimates(ca, fa, b)
+    differ = np.bitwise_count(ca ^ cb).sum(1)
+    assert same.all() and (estimate + embedding_dedup.SURE * spread >= threshold).all() and (differ <= embedding_dedup.most_bits(8 * ca.shape[1], threshold)).all()
+
+
+def test_embeddings_with_many_equal_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((4, 32))
+    vecs = [base[0].tolist() if k < 300 else (base[k % 4] + rng.standard_normal(32) * 0.05).tolist() for k in range(420)]
+    labels = [1 if k != 5 else 2 for k in range(420)]
+    links = links_by_hand(vecs, labels, 0.98)
+    root = parts_by_hand(420, links)
+    count = [0] * 420
+    for i, j in links:
+        count[i] += 1
+        count[j] += 1
+    rows = [(i, v, lab) for i, (v, lab) in enumerate(zip(vecs, labels))]
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").repartition(4)
+        want = {(i, count[i], root[i], root[i] == i) for i in range(420)}
+        assert {tuple(r) for r in embedding_dedup.near_duplicates(df, list_rows=64).collect()} == want or kind == "float"
+    # an id with several vectors has the links of all of them, those to itself left out
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.999, 0.01], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (3, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(twice).collect()) == [(1, 4, 1, True), (2, 3, 1, False), (3, 3, 1, False)]
 
 
 def test_sharding(docs, empty, texts, tmp_path):
@@ -152,9 +192,15 @@ def test_sharding(docs, empty, texts, tmp_path):
         assert not s or parent > limit
     assert sharding.shards(empty, limit).count() == 0
     assert {r.shard_id for r in sharding.shards(docs, 1 << 30).collect()} == {""}
-    written = sharding.write_shards(docs.select("doc_id", "text"), str(tmp_path / "shards"), limit)
-    assert {r.shard_id for r in written.collect()} == set(sizes)
-    assert docs.sparkSession.read.parquet(str(tmp_path / "shards")).count() == len(texts)
+    clashing = docs.withColumnsRenamed({"fp": "depth", "score": "_row", "id": "shard", "_r": "_h"})
+    written = sharding.write_shards(clashing, str(tmp_path / "shards"), limit)
+    assert {tuple(r) for r in written.collect()} == {(s, len(s), sizes[s], len(m)) for s, m in members.items()}
+    back = docs.sparkSession.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", False).parquet(str(tmp_path / "shards"))
+    assert set(back.columns) == {*clashing.columns, "_shard"}
+    assert sorted(tuple(r) for r in back.select("doc_id", "depth", "_row", "shard", "_h").collect()) == sorted(tuple(r) for r in clashing.select("doc_id", "depth", "_row", "shard", "_h").collect())
+    where = {r.doc_id: str(r["_shard"]) for r in back.collect()}
+    assert all(where[r.doc_id] == "s" + r.shard_id for r in got)
+    assert sharding.write_shards(empty, str(tmp_path / "none"), limit).count() == 0
 
 
 def test_sharding_of_one_repeated_id(spark):
@@ -171,7 +217,10 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string, id string").repartition(3)
 
 
-def test_warc(spark, pages, tmp_path):
+@pytest.mark.parametrize("few", [True, False])
+def test_warc(spark, pages, tmp_path, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
     rows = pages.collect()
     first = {}
     for r in rows:
