@@ -6,15 +6,17 @@ their own numbers. Nyström landmarks span the feature space of a kernel ridge r
 the kernel with a landmark is an inner product of presence vectors, landmarks and regression fold into one weight for
 each n-gram and language, so batches of whole texts are scored by one matrix product each.
 
-n-grams are of lower-cased letters; every run of other characters is one space. They are hashed to 2 ** 16 places.
+n-grams are of lower-cased letters of all scripts; every run of other characters is one space, and a text has one before and
+after it. They are hashed to 2 ** 16 places. Long texts are read in slices that join without a seam.
 
-Fitting: about SAMPLE labelled texts in all, the same number of each language, drawn by a hash of the id, but LEAST of each
-however many languages there are (documented bound). Every language is learned and has LEAST landmarks, or all its rows. Only rows with a language and whose
-crc32(id) mod 3 is not the held-out remainder 1 are learned from. Prediction uses the text alone.
+Fitting: at most SAMPLE labelled texts in all, the same number of each language, those with the smallest hashes of their ids; but LEAST of
+each however many languages there are (documented bound). Every language is learned and has LEAST landmarks, or all its rows. Only
+rows with a language and whose crc32(id) mod 3 is not the held-out remainder 1 are learned from. Prediction uses the text alone.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; with no labelled rows every text is ``und``,
-and ``keep_identified`` then rejects only null texts and those without a letter; ties go to the first language in order; repeated rows give equal rows; an empty table gives an empty result; columns
-other than id, text and language are not read, and ``with_language`` keeps all.
+and ``keep_identified`` then rejects only null texts and those without a letter; ties go to the first language in order; repeated
+rows give equal rows, and labelled ones whose number goes beyond the bound stay out together; an empty table gives an empty result;
+columns other than id, text and language are not read, and ``keep_identified`` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_udf
+from .common import bounded_batches, free, text_udf
 
 #: Bounds of the fit: labelled texts, landmarks, and what each language has of both at least.
 SAMPLE, LANDMARKS, LEAST = 3000, 400, 16
@@ -54,17 +56,24 @@ def _letter_table() -> np.ndarray:
 def presence(texts: list[str], table: np.ndarray) -> np.ndarray:
     """(texts x PLACES) matrix of 0 and 1: the hashed n-grams, n = 1 to 3, in each whole text."""
     out = np.zeros((len(texts), PLACES), np.uint8)
-    last = np.uint32(PLACES - 1)
+    last, none = np.uint32(PLACES - 1), np.zeros(0, np.uint32)
     for row, text in zip(out, texts, strict=True):
-        for i in range(0, len(text), SLICE):
-            raw = np.frombuffer(f" {text[max(0, i - 3) : i + SLICE]} ".encode("utf-32-le"), np.uint32)
-            c = table[np.minimum(raw, LETTERS_END - 1)]
-            c = c[np.concatenate(([True], (c[1:] | c[:-1]) != 0))]
+        held = none  # the last two codes, with which the next slice's n-grams begin
+        for i in range(0, max(len(text), 1), SLICE):
+            part = (" " if not i else "") + text[i : i + SLICE] + (" " if i + SLICE >= len(text) else "")
+            c = table[np.minimum(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32), LETTERS_END - 1)]
+            known = len(held)
+            c = np.concatenate([held, c])
+            fresh = np.ones(len(c), bool)
+            fresh[1:] = (c[1:] | c[:-1]) != 0  # runs of what is no letter are one
+            fresh[:known] = True
+            c = c[fresh]
             row[(c * np.uint32(40503) ^ (c >> np.uint32(16)) * np.uint32(2531)) & last] = 1
             two = c[:-1] * np.uint32(92821) + c[1:] * np.uint32(31)
             row[(two ^ (two >> np.uint32(9))) & last] = 1
             three = two[:-1] * np.uint32(4099) + c[2:] * np.uint32(131)
             row[(three ^ (three >> np.uint32(11))) & last] = 1
+            held = c[-2:]
     return out
 
 
@@ -108,9 +117,19 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not counts:
         return [], np.zeros((PLACES, 0), np.float32)
     each = max(sample // len(counts), LEAST)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(float(each) / n))])
-    drawn = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)) < share[F.col(lang_col)] * (1 << 30)
-    few = open_.filter(drawn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    key = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30))
+    by_lang = lambda values: F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])[F.col(lang_col)]
+    # somewhat more than wanted are drawn by the hash; of those, languages and hashes alone, rows with the smallest hashes stay
+    wide = {k: int(min(1.0, (1.3 * each + 40) / n) * (1 << 30)) for k, n in counts.items()}
+    drawn = open_.filter(key < by_lang(wide)).groupBy(F.col(lang_col).alias("lang"), key.alias("key")).count().toArrow().sort_by([("lang", "ascending"), ("key", "ascending")])
+    bound, taken = dict.fromkeys(counts, 0), dict.fromkeys(counts, 0)
+    for lang, k, n in zip(*[drawn.column(c).to_pylist() for c in ("lang", "key", "count")], strict=True):
+        if taken[lang] + n <= each:
+            taken[lang] += n
+            bound[lang] = k + 1
+        else:
+            taken[lang] = each  # nothing after it either
+    few = open_.filter(key < by_lang(bound)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def featurise(batches):
         table = _letter_table()
@@ -120,8 +139,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 bits = np.packbits(presence(s.column("text").to_pylist(), table), axis=1)
                 yield pa.RecordBatch.from_arrays([s.column("id").cast(pa.string()), s.column("lang"), pa.array([r.tobytes() for r in bits], pa.binary())], ["id", "lang", "bits"])
 
-    # draws vary around the share; what is above twice the bound stays out
-    rows = few.mapInArrow(featurise, "id string, lang string, bits binary").limit(2 * max(sample, each * len(counts))).toArrow().sort_by([("id", "ascending"), ("bits", "ascending")])
+    rows = few.mapInArrow(featurise, "id string, lang string, bits binary").toArrow().sort_by([("id", "ascending"), ("bits", "ascending")])
     if not rows.num_rows:
         return [], np.zeros((PLACES, 0), np.float32)
     bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
@@ -167,6 +185,6 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = learn(df, id_col, text_col, lang_col)
     if not model[0]:
         return df.filter(F.rlike(F.col(text_col), F.lit(r"\p{L}")))
-    udf = predictor(model)
-    marked = df.withColumn("__language", udf(F.col(text_col)))
-    return marked.filter(F.col("__language.lang_pred") != "und").drop("__language")
+    (found,) = free(df, "language")
+    marked = df.withColumn(found, predictor(model)(F.col(text_col)))
+    return marked.filter(F.col(f"{found}.lang_pred") != "und").drop(found)
