@@ -6,21 +6,24 @@ then toxic.
 
 Features are presences: words, word beginnings of PREFIXES letters, and coarse shares of capitals, digits, marks and
 spaces. A category keeps the FEATURES features with the largest likelihood-ratio statistic over the fitted sample,
-which are counted in the executors.
+which are counted in the executors, fold by fold: what predicts a fold out of it is chosen without it. A document's fold is a
+hash of its text, so copies share it.
 
-Fitting: at most SAMPLE labelled documents (documented bound), drawn by a hash of the id, up to half of them toxic. The
-intercept is corrected to the categories' shares among all labelled documents. Prediction uses the text alone; a
+Fitting: at most SAMPLE labelled documents (documented bound), those with the smallest hashes of their ids, up to half of them
+toxic. The intercept is corrected to the categories' shares among all labelled documents. Prediction uses the text alone; a
 document is rejected when its probability of toxic is THRESHOLD or more.
 
-Defined cases: null text is the empty text; several labels of one document count as their largest; null labels are left
-out; without both classes of a category its probability is 0 and nothing is rejected; repeated rows give equal rows; an
-empty table gives an empty result; columns other than id and text are not read, and ``keep_clean`` keeps all.
+Defined cases: null text is the empty text; several labels of one document count as their largest, several rows of a labelled id
+as the one with the smallest text; null labels are left out; without both classes of a category its probability is 0 and nothing is
+rejected; repeated rows give equal rows; an empty table gives an empty result; columns other than id and text are not read,
+and ``keep_clean`` keeps all, whatever their names. Whole texts are read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_udf
+from .common import bounded_batches, checkpoint, free, text_udf
 
 #: Bounds of the fit: labelled documents, features of a category; folds; documents a feature must be in, and its least gain
 #: in log-likelihood, which chance alone rarely reaches among all words.
@@ -104,23 +107,27 @@ def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.nd
     return w * scale
 
 
-def fit_chain(rows: np.ndarray, columns: np.ndarray, labels: dict[str, np.ndarray], own: dict[str, np.ndarray], priors: dict[str, float], folds: np.ndarray) -> dict[str, np.ndarray]:
+def fit_chain(rows: np.ndarray, columns: np.ndarray, labels: dict[str, np.ndarray], own: dict[str, list[np.ndarray]], priors: dict[str, float], folds: np.ndarray) -> dict[str, np.ndarray]:
     """Weights of each category in turn: its own features, earlier categories' log-odds, intercept. Features come as
-    (row, column) of those present. Labels are 0, 1 or -1."""
+    (row, column) of those present; ``own`` has a category's features chosen over all rows and then, if another category follows,
+    those chosen without each fold. Labels are 0, 1 or -1."""
     count, size = len(folds), int(columns.max(initial=-1)) + 1
     earlier, models = np.zeros((count, 0)), {}
     for name, y in labels.items():
         have = y >= 0
-        n = len(own[name])
-        place = np.full(max([size, *(own[name] + 1)]), -1, np.int64)
-        place[own[name]] = np.arange(n)
-        mine = place[columns] >= 0
-        r = np.concatenate([rows[mine], np.repeat(np.arange(count), earlier.shape[1])])
-        c = np.concatenate([place[columns[mine]], np.tile(n + np.arange(earlier.shape[1]), count)])
-        x = np.concatenate([np.ones(mine.sum()), earlier.ravel()])
-        n += earlier.shape[1]
-
-        def fit(some: np.ndarray) -> np.ndarray:
+
+        def inputs(chosen: np.ndarray, earlier: np.ndarray = earlier) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+            """(row, column, value) of a category's inputs, and how many columns there are."""
+            n = len(chosen)
+            place = np.full(max([size, *(chosen + 1)]), -1, np.int64)
+            place[chosen] = np.arange(n)
+            mine = place[columns] >= 0
+            r = np.concatenate([rows[mine], np.repeat(np.arange(count), earlier.shape[1])])
+            c = np.concatenate([place[columns[mine]], np.tile(n + np.arange(earlier.shape[1]), count)])
+            return r, c, np.concatenate([np.ones(mine.sum()), earlier.ravel()]), n + earlier.shape[1]
+
+        def fit(some: np.ndarray, given: tuple, y: np.ndarray = y) -> np.ndarray:
+            r, c, x, n = given
             at = np.cumsum(some) - 1
             k = some[r]
             return logistic(at[r[k]], c[k], x[k], y[some].astype(float), n)
@@ -129,15 +136,17 @@ def fit_chain(rows: np.ndarray, columns: np.ndarray, labels: dict[str, np.ndarra
         if have.any() and 0 < y[have].mean() < 1:
             mean = float(y[have].mean())
             shift = math.log(priors[name] / (1 - priors[name])) - math.log(mean / (1 - mean)) if 0 < priors[name] < 1 else 0.0
-            models[name] = fit(have)
+            models[name] = fit(have, inputs(own[name][0]))
             models[name][-1] += shift
             for k in range(FOLDS) if name != list(labels)[-1] else ():  # nothing follows the last
                 train = have & (folds != k)
-                w = fit(train) if train.any() and 0 < y[train].mean() < 1 else np.zeros(n + 1)
-                score = np.bincount(r, x * w[c], count) + w[-1] + shift
-                odds[folds == k] = score[folds == k]
+                if train.any() and 0 < y[train].mean() < 1:
+                    given = inputs(own[name][1 + k])
+                    w = fit(train, given)
+                    score = np.bincount(given[0], given[2] * w[given[1]], count) + w[-1] + shift
+                    odds[folds == k] = score[folds == k]
         else:
-            models[name] = np.zeros(n + 1)
+            models[name] = np.zeros(len(own[name][0]) + earlier.shape[1] + 1)
             models[name][-1] = -30
         earlier = np.concatenate([earlier, np.clip(odds, -5, 5)[:, None] / 5], 1)
     return {k: w.astype(np.float32) for k, w in models.items()}
@@ -163,26 +172,30 @@ class Chain:
         return out
 
 
-def labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, low_quality, toxic) of documents with a label."""
-    known = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg((1 - F.min("quality")).alias("low_quality"), F.max("toxic").alias("toxic"))
-    return df.select(F.col(id_col), F.col(text_col).alias("text")).join(known, id_col).select(F.col(id_col).cast("string").alias("id"), "text", "low_quality", "toxic")
-
-
-def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
-    spark = df.sparkSession
-    bounded_batches(spark)
+def sampled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[DataFrame, dict[str, float]]:
+    """(id, text, low_quality, toxic) of the labelled documents that are learned from, one row an id, and the categories' shares
+    among all that are labelled."""
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg((1 - F.min("quality")).alias("low_quality"), F.max("toxic").alias("toxic"))
     n = known.agg(F.count("*"), F.sum("toxic"), F.count("toxic"), F.sum("low_quality"), F.count("low_quality")).first()
     priors = {"low_quality": (n[3] or 0) / max(n[4], 1), "toxic": (n[1] or 0) / max(n[2], 1)}
-    pos = n[1] or 0
-    share_pos = min(1.0, sample / 2 / max(pos, 1))
-    share_neg = min(1.0, (sample - pos * share_pos) / max(n[0] - pos, 1))
-    share = F.when(F.col("toxic") == 1, share_pos).otherwise(share_neg)
-    few = known.filter(F.pmod(F.xxhash64(F.lit(23), F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30))
+    key = F.xxhash64(F.lit(23), F.col(id_col))
+    positives = min(n[1] or 0, sample // 2)
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    drawn = known.filter(toxic).orderBy(key, id_col).limit(positives).unionByName(known.filter(~toxic).orderBy(key, id_col).limit(sample - positives))
     # ids and labels of the bounded sample
-    few = F.broadcast(spark.createDataFrame(few.limit(2 * sample).toArrow(), few.schema))
-    rows = df.select(F.col(id_col), F.col(text_col).alias("text")).join(few, id_col).select(F.col(id_col).cast("string").alias("id"), "text", "low_quality", "toxic")
+    few = F.broadcast(df.sparkSession.createDataFrame(drawn.toArrow(), drawn.schema))
+    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(few, id_col).groupBy(id_col, "low_quality", "toxic").agg(F.min("text").alias("text"))
+    return rows.select(F.col(id_col).cast("string").alias("id"), "text", "low_quality", "toxic"), priors
+
+
+def fold_of(text: str) -> int:
+    return zlib.crc32(text.encode()) % FOLDS
+
+
+def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, top: int = FEATURES) -> Chain:
+    bounded_batches(df.sparkSession)
+    rows, priors = sampled(df, labels, id_col, text_col, sample)
+    rows = checkpoint(rows)
 
     def count(batches):
         held: Counter = Counter()
@@ -195,47 +208,49 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         for b in batches:
             for text, q, t in zip(b.column("text").to_pylist(), b.column("low_quality").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                cell = (3 if q is None else q) * 4 + (3 if t is None else t)
-                held.update([(f, cell) for f in features(text or "")])
+                cell = (fold_of(text) * 4 + (3 if q is None else q)) * 4 + (3 if t is None else t)
+                held.update([(f, cell) for f in features(text)])
                 held[("", cell)] += 1
                 if len(held) > HELD:
                     yield from flush()
         yield from flush()
 
-    counts = rows.mapInArrow(count, "feature string, cell int, n bigint").groupBy("feature").agg(
-        *[F.sum(F.when(F.floor(F.col("cell") / 4) == v, F.col("n")).otherwise(0)).alias(f"q{v}") for v in (0, 1)],
-        *[F.sum(F.when(F.col("cell") % 4 == v, F.col("n")).otherwise(0)).alias(f"t{v}") for v in (0, 1)],
-    )
-    counts = counts.filter(F.col("q0") + F.col("q1") + F.col("t0") + F.col("t1") >= 2 * LEAST).persist()
-    totals = counts.filter("feature = ''").first()
-    chosen: dict[str, list[str]] = {}
-    for name, k in (("low_quality", "q"), ("toxic", "t")):
-        n0, n1 = (totals[f"{k}0"], totals[f"{k}1"]) if totals else (0, 0)
-        if not n0 or not n1:
-            chosen[name] = []
-            continue
-        a, b = F.col(f"{k}1") + 0.5, F.col(f"{k}0") + 0.5
-        gain = (a * F.log(a * (n0 + n1) / ((a + b) * n1)) + b * F.log(b * (n0 + n1) / ((a + b) * n0))).alias("gain")
-        top = counts.filter("feature != ''").select("feature", gain).filter(f"gain > {GAIN}").orderBy(F.desc("gain"), "feature").limit(FEATURES)
-        chosen[name] = [r[0] for r in top.select("feature").collect()]
-    counts.unpersist()
-    names = sorted(set().union(*chosen.values()))
+    fold, low, bad = F.floor(F.col("cell") / 16), F.floor(F.col("cell") / 4) % 4, F.col("cell") % 4
+    total = lambda test, name: F.sum(F.when(test, F.col("n")).otherwise(0)).alias(name)
+    # of each feature: t0 and t1 over all, q0 and q1 of each fold
+    cells = [total(bad == v, f"t{v}") for v in (0, 1)] + [total((low == v) & (fold == k), f"q{v}_{k}") for v in (0, 1) for k in range(FOLDS)]
+    counts = rows.mapInArrow(count, "feature string, cell int, n bigint").groupBy("feature").agg(*cells)
+    every = lambda v, without=None: sum((F.col(f"q{v}_{k}") for k in range(FOLDS) if k != without), F.lit(0))
+    counts = checkpoint(counts.filter(every(0) + every(1) + F.col("t0") + F.col("t1") >= 2 * LEAST))
+    totals = counts.filter("feature = ''")
+
+    def choose(zero, one) -> list[str]:
+        n = totals.select(zero.alias("n0"), one.alias("n1")).first()
+        if not n or not n.n0 or not n.n1:
+            return []
+        a, b = one + 0.5, zero + 0.5
+        gain = a * F.log(a * (n.n0 + n.n1) / ((a + b) * n.n1)) + b * F.log(b * (n.n0 + n.n1) / ((a + b) * n.n0))
+        found = counts.filter("feature != ''").select("feature", gain.alias("gain")).filter(F.col("gain") > GAIN).orderBy(F.desc("gain"), "feature").limit(top)
+        return [r[0] for r in found.select("feature").collect()]
+
+    chosen = {"low_quality": [choose(every(0, k), every(1, k)) for k in (None, *range(FOLDS))], "toxic": [choose(F.col("t0"), F.col("t1"))]}
+    names = sorted({f for lists in chosen.values() for v in lists for f in v})
     place = {f: i for i, f in enumerate(names)}
-    own = {k: np.array([place[f] for f in v], np.int64) for k, v in chosen.items()}
+    own = {k: [np.array([place[f] for f in v], np.int64) for v in lists] for k, lists in chosen.items()}
 
     def locate(batches):
         select = Selected(names)
         for b in batches:
-            got = [select(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("low_quality"), b.column("toxic"), pa.array(got, pa.list_(pa.int32()))], ["id", "low_quality", "toxic", "places"])
+            texts = b.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("low_quality"), b.column("toxic"), pa.array(map(fold_of, texts), pa.int32()), pa.array(map(select, texts), pa.list_(pa.int32()))], ["id", "low_quality", "toxic", "fold", "places"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    got = rows.mapInArrow(locate, f"id string, low_quality {kinds['low_quality']}, toxic {kinds['toxic']}, places array<int>").toArrow().sort_by("id")
+    got = rows.mapInArrow(locate, f"id string, low_quality {kinds['low_quality']}, toxic {kinds['toxic']}, fold int, places array<int>").toArrow().sort_by("id")
     y = {c: np.array([-1 if v is None else v for v in got.column(c).to_pylist()], np.int64) for c in CATEGORIES}
-    folds = np.arange(got.num_rows) % FOLDS
     places = got.column("places").combine_chunks()
     rows_of = np.repeat(np.arange(got.num_rows), np.diff(places.offsets.to_numpy()))
-    return Chain(names, own, fit_chain(rows_of, places.flatten().to_numpy(), y, own, priors, folds))
+    models = fit_chain(rows_of, places.flatten().to_numpy(), y, own, priors, got.column("fold").to_numpy())
+    return Chain(names, {k: v[0] for k, v in own.items()}, models)
 
 
 def predictor(chain: Chain, threshold: float = THRESHOLD):
@@ -259,5 +274,5 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows, with all their columns, that aren't rejected as toxic."""
-    udf = predictor(learn(df, labels, id_col, text_col), threshold)
-    return df.withColumn("__toxicity", udf(F.col(text_col))).filter(~F.col("__toxicity.toxic")).drop("__toxicity")
+    udf, (found,) = predictor(learn(df, labels, id_col, text_col), threshold), free(df, "toxicity")
+    return df.withColumn(found, udf(F.col(text_col))).filter(~F.col(f"{found}.toxic")).drop(found)
