@@ -1,6 +1,7 @@
 """Media columns: payloads kept as WAV audio, with spectral-peak fingerprints.
 
-Method: a payload is stored as the 8-bit mono samples of a WAV file by the wave module and read back by it. Short-time
+Method: a payload is stored as the 8-bit mono samples of a WAV file by the wave module, the files as a binary column of a
+Parquet table in the shared folder; that table is read back, and the wave module reads the files. Short-time
 Fourier transforms of the stored samples (window 256, hop 128, Hann) give spectral peaks: in each frame the strongest bins
 that exceed their neighbours in frequency. Each peak is paired with peaks of the next frames; a pair's frequencies and
 distance in time make a hash, and the fingerprint is the time-coded array of (frame, hash) as 64-bit integers,
@@ -22,7 +23,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..storage import scratch
 from .common import bounded_batches, text_udf
 
 RATE, WINDOW, HOP = 8000, 256, 128
@@ -83,29 +86,47 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(made)) if made else np.zeros(0, np.int64)
 
 
-def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Digest columns of contract op10 for every row; with ``keep`` also the WAV bytes and the fingerprint array."""
+def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, media): every row's payload as the bytes of a WAV file."""
     bounded_batches(df.sparkSession)
-    fields = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "n_pairs": pa.int64()}
-    if keep:
-        fields |= {"media": pa.binary(), "fingerprint": pa.list_(pa.int64())}
-    names = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>"}
-
-    def row(text: str | None) -> tuple:
-        raw = (text or "").encode()
-        stored = to_wav(to_payload(raw))
-        back = from_wav(stored)
+
+    def start():
+        def work(texts):
+            raws = [(t or "").encode() for t in texts]
+            return {"n_bytes": pa.array([len(r) for r in raws], pa.int64()), "media": pa.array([to_wav(to_payload(r)) for r in raws], pa.binary())}
+
+        return work
+
+    return df.select(F.col(id_col), text_udf("struct<n_bytes: bigint, media: binary>", start, rows=32)(text_col).alias("_r")).select(id_col, "_r.*")
+
+
+def described(media: DataFrame) -> DataFrame:
+    """Add to a table's ``media``, WAV files, what is read back from them: payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature, n_pairs and the time-coded array ``fingerprint``."""
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "n_pairs": pa.int64(), "fingerprint": pa.list_(pa.int64())}
+    names = {pa.int64(): "bigint", pa.string(): "string", pa.list_(pa.int64()): "array<bigint>"}
+
+    def row(wav: bytes) -> tuple:
+        back = from_wav(wav)
         marks = fingerprint(np.frombuffer(back, np.uint8))
         feature = f"{len(marks)}:{hashlib.sha256(marks.astype('<i8').tobytes()).hexdigest()}"
-        got = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(marks))
-        return (*got, stored, marks) if keep else got
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), feature, len(marks), marks
 
     def start():
-        def work(texts):
-            columns = list(zip(*map(row, texts), strict=True)) or [()] * len(fields)
-            return {k: pa.array(c, kind) for (k, kind), c in zip(fields.items(), columns, strict=True)}
+        def work(wavs):
+            columns = list(zip(*map(row, wavs), strict=True)) or [()] * len(kinds)
+            return {k: pa.array(c, kind) for (k, kind), c in zip(kinds.items(), columns, strict=True)}
 
         return work
 
-    schema = ", ".join(f"{k}: {names[kind]}" for k, kind in fields.items())
-    return df.select(id_col, text_udf(f"struct<{schema}>", start, rows=32)(text_col).alias("_r")).select(id_col, "_r.*")
+    schema = ", ".join(f"{k}: {names[kind]}" for k, kind in kinds.items())
+    return media.select("*", text_udf(f"struct<{schema}>", start, rows=32)("media").alias("_r")).select(*media.columns, "_r.*")
+
+
+def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The columns of contract op10 for every row, the WAV files (media) and the time-coded arrays (fingerprint). The files are
+    written as a table to ``path`` (a scratch folder if None), and all that is said of them is read back from there."""
+    spark, path = df.sparkSession, path or scratch(df.sparkSession, "media")
+    stored(df, id_col, text_col).write.parquet(path)
+    out = described(spark.read.parquet(path))
+    return out.select(id_col, "n_bytes", *[c for c in out.columns if c not in (id_col, "n_bytes", "media", "fingerprint")], "media", "fingerprint")
