@@ -582,8 +582,116 @@ def test_toxicity(spark):
     assert toxicity.classify(df.limit(0), lab).count() == 0
 
 
+def test_logistic_is_the_minimum():
+    rng = np.random.default_rng(2)
+    x = rng.random((300, 12)) < 0.3
+    y = (rng.random(300) < 1 / (1 + np.exp(1 - 3.0 * x[:, 0] + 2.0 * x[:, 3]))).astype(float)
+    r, c = np.nonzero(x)
+    got = toxicity.logistic(r, c, np.ones(len(r)), y, 12, ridge=0.05, steps=4000)
+    full = np.concatenate([x, np.ones((300, 1))], 1).astype(float)
+    w, pull = np.zeros(13), np.array([0.05] * 12 + [0.0])
+    for _ in range(50):  # Newton's steps
+        p = 1 / (1 + np.exp(-full @ w))
+        w -= np.linalg.solve(full.T * (p * (1 - p)) @ full + np.diag(pull), full.T @ (p - y) + pull * w)
+    assert np.allclose(got, w, atol=1e-3)
+
+
+def test_chain_feeds_predictions_made_without_the_fold():
+    rng = np.random.default_rng(4)
+    n = 400
+    x = rng.random((n, 10)) < 0.4
+    low = (rng.random(n) < 0.2 + 0.6 * x[:, 1]).astype(np.int64)
+    bad = (rng.random(n) < 0.1 + 0.5 * low * x[:, 2]).astype(np.int64)
+    low[:7] = -1
+    folds = rng.integers(0, toxicity.FOLDS, n)
+    chosen = [np.arange(6)] + [np.array([1, 2, 3 + k % 3]) for k in range(toxicity.FOLDS)]
+    own, priors = {"low_quality": chosen, "toxic": [np.arange(2, 8)]}, {"low_quality": 0.3, "toxic": 0.1}
+    r, c = np.nonzero(x)
+    got = toxicity.fit_chain(r, c, {"low_quality": low, "toxic": bad}, own, priors, folds)
+
+    def plain(inputs, y):
+        r, c = np.nonzero(inputs)
+        return toxicity.logistic(r, c, inputs[r, c], y.astype(float), inputs.shape[1])
+
+    def shift(y, prior):
+        return math.log(prior / (1 - prior)) - math.log(y.mean() / (1 - y.mean()))
+
+    have, odds = low >= 0, np.zeros(n)
+    moved = shift(low[have], 0.3)
+    for k in range(toxicity.FOLDS):
+        train, out = have & (folds != k), folds == k
+        w = plain(x[train][:, chosen[1 + k]].astype(float), low[train])
+        odds[out] = x[out][:, chosen[1 + k]] @ w[:-1] + w[-1] + moved
+    first = plain(x[have][:, chosen[0]].astype(float), low[have])
+    first[-1] += moved
+    second = plain(np.concatenate([x[:, 2:8], np.clip(odds, -5, 5)[:, None] / 5], 1), bad)
+    second[-1] += shift(bad, 0.1)
+    assert np.allclose(got["low_quality"], first, atol=1e-5) and np.allclose(got["toxic"], second, atol=1e-5)
+
+
+def test_toxicity_of_odd_rows(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(20)) + (" scum" if i % 5 == 0 else ""), "k") for i in range(300)]
+    rows += [(None, "you scum", "k"), (7, None, "k"), (5, "zzz", "k")] + [(10, "the of scum", "k")] * 500 + [(400, "the of und " * 100_000 + "scum", "k")]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(300)] + [(10, 1, 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxicity string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.classify(df, lab).collect()
+    assert len(got) == len(rows) and {g.toxic for g in got if g.doc_id in (None, 10, 400)} == {True}
+    sample, _ = toxicity.sampled(df, lab, "doc_id", "text", 100)
+    ids = [x.id for x in sample.collect()]
+    assert len(ids) == len(set(ids)) == 100 and sample.filter("toxic = 1").count() == 50
+    kept = toxicity.keep_clean(df, lab)
+    assert kept.columns == df.columns and {x.toxicity for x in kept.collect()} == {"k"}
+    fold = [toxicity.fold_of(t) for t in ("a b", "a b", "c")]
+    assert fold[0] == fold[1]
+
+
+def test_language_slices_join_without_a_seam(monkeypatch):
+    table = langid._letter_table()
+    texts = [random_text(random.Random(k), 60) + "  \n 12 é𞤢 日本" * k for k in range(6)] + ["", "a", "1", " ab "]
+    whole = langid.presence(texts, table)
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert (langid.presence(texts, table) == whole).all()
+
+
+def test_language_bound_holds_with_repeated_ids(spark):
+    rows = [(i, f"the of and {i}", "en") for i in range(2000)] + [(3, "und der die", "de")] * 500 + [(i, "und der die", "de") for i in range(5000, 5400)]
+    names, _ = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), sample=100)
+    assert names == ["de", "en"]
+    df = spark.createDataFrame([(1, "the", "en", 5)], "doc_id long, text string, lang string, language int")
+    assert langid.keep_identified(df).columns == df.columns
+
+
+def test_language_predictions_against_plain_python(spark):
+    rows = [(i, random_text(random.Random(i), 12), "x" if i % 2 else "y") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, weights = model = langid.learn(df)
+
+    def grams(text):
+        letters = "".join(c.lower()[0] if c.isalpha() else " " for c in f" {text} ")
+        letters = re.sub(" +", " ", letters)
+        return {letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1)}
+
+    def place(gram):
+        c = [0 if g == " " else ord(g) for g in gram]
+        if len(c) == 1:
+            return (c[0] * 40503 & 0xFFFFFFFF) ^ ((c[0] >> 16) * 2531 & 0xFFFFFFFF)
+        two = (c[0] * 92821 + c[1] * 31) & 0xFFFFFFFF
+        if len(c) == 2:
+            return two ^ two >> 9
+        three = (two * 4099 + c[2] * 131) & 0xFFFFFFFF
+        return three ^ three >> 11
+
+    for got in langid.identify(df, model=model).collect():
+        at = sorted({place(g) % langid.PLACES for g in grams(rows[got.doc_id][1])})
+        score = weights[at].astype(float).sum(0) / math.sqrt(len(at))
+        assert got.lang_pred == names[int(score.argmax())] and got.score == pytest.approx(min(1, max(0, (score.max() + 1) / 2)), abs=1e-4)
+
+
 def test_media(docs, empty, texts):
-    got = by_id(media.media_columns(docs, keep=True))
+    got = by_id(media.media_columns(docs))
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
@@ -594,6 +702,22 @@ def test_media(docs, empty, texts):
     assert got[0].feature == got[1].feature and media.media_columns(empty).count() == 0
 
 
+def test_media_fingerprint_against_plain_python():
+    for seed in (1, 2):
+        samples = np.frombuffer(random_text(random.Random(seed), 300).encode(), np.uint8)
+        peaks = []
+        for t in range(max(1, math.ceil((len(samples) - media.WINDOW) / media.HOP) + 1)):
+            frame = np.zeros(media.WINDOW, np.float32)
+            part = samples[t * media.HOP : t * media.HOP + media.WINDOW]
+            frame[: len(part)] = part.astype(np.float32) - 128
+            power = [round(float(abs(x)), 3) for x in np.fft.rfft(frame * np.hanning(media.WINDOW).astype(np.float32))]
+            tops = [(-power[k], k) for k in range(2, len(power) - 1) if power[k] > power[k - 1] and power[k] >= power[k + 1]]
+            peaks.append([k for _, k in sorted(tops)[: media.PEAKS]])
+        want = sorted((t << 32) | (a << 16) | (b << 4) | gap for t in range(len(peaks)) for gap in range(1, media.REACH + 1) if t + gap < len(peaks) for a in peaks[t] for b in peaks[t + gap])
+        got = media.fingerprint(samples).tolist()
+        assert len(want) > 50 and len(set(want) ^ set(got)) <= 0.02 * len(want)  # equal but for peaks that tie in their third decimal
+
+
 def test_media_peaks_of_a_tone():
     tone = (128 + 100 * np.sin(2 * np.pi * 20 / media.WINDOW * np.arange(4000))).astype(np.uint8)
     bins, _ = media.spectral_peaks(tone)
