@@ -64,7 +64,7 @@ def text_udf(schema: str, start: Callable[[], Callable[[list], dict[str, pa.Arra
     return run.asNondeterministic()
 
 
-def attach(left: DataFrame, right: DataFrame, on: Sequence[str], count: str, most: int = 100_000, row_bytes: int = 64) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, on: Sequence[str], count: str, most: int = 100_000, row_bytes: int = 128) -> DataFrame:
     """Join every row of ``left`` with its row of ``right``, which is unique by ``on`` and whose ``count`` says how many rows of left
     have the key. Where right fits a broadcast it is; else keys with more rows than a ``most``-th of all are, of which there are
     fewer than ``most``, and only the others are shuffled. No key's rows meet in one task. Both sides are read several times."""

@@ -250,7 +250,8 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     places = got.column("places").combine_chunks()
     rows_of = np.repeat(np.arange(got.num_rows), np.diff(places.offsets.to_numpy()))
     models = fit_chain(rows_of, places.flatten().to_numpy(), y, own, priors, got.column("fold").to_numpy())
-    return Chain(names, {k: v[0] for k, v in own.items()}, models)
+    used = np.unique(np.concatenate([v[0] for v in own.values()]))  # features of folds aren't needed any more
+    return Chain([names[i] for i in used], {k: np.searchsorted(used, v[0]) for k, v in own.items()}, models)
 
 
 def predictor(chain: Chain, threshold: float = THRESHOLD):

@@ -56,7 +56,7 @@ def edited(r, words, share):
     return [r.choice(["alpha", "beta", "gamma"]) if r.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("options", [{}, {"list_rows": 16, "limit": 6}, {"width": 2, "limit": 6}])
+@pytest.mark.parametrize("options", [{}, {"list_rows": 16, "limit": 4}, {"width": 2, "limit": 20}])
 def test_similar_texts_against_brute_force(spark, options):
     r = random.Random(11)
     vocabulary = [f"w{k}" for k in range(400)]
