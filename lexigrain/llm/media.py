@@ -34,6 +34,8 @@ PEAKS, REACH = 3, 2
 #: Frames transformed at once.
 SLICE = 2048
 UNIT = 64
+#: Rows of an Arrow batch, which holds their texts, files and arrays at once, and rows worked on at once.
+ROWS, AT_ONCE = 128, 32
 
 
 def to_payload(raw: bytes) -> bytes:
@@ -88,7 +90,7 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 
 def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): every row's payload as the bytes of a WAV file."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, ROWS)
 
     def start():
         def work(texts):
@@ -97,7 +99,7 @@ def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
         return work
 
-    return df.select(F.col(id_col), text_udf("struct<n_bytes: bigint, media: binary>", start, rows=32)(text_col).alias("_r")).select(id_col, "_r.*")
+    return df.select(F.col(id_col), text_udf("struct<n_bytes: bigint, media: binary>", start, rows=AT_ONCE)(text_col).alias("_r")).select(id_col, "_r.*")
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -119,8 +121,9 @@ def described(media: DataFrame) -> DataFrame:
 
         return work
 
+    bounded_batches(media.sparkSession, ROWS)
     schema = ", ".join(f"{k}: {names[kind]}" for k, kind in kinds.items())
-    return media.select("*", text_udf(f"struct<{schema}>", start, rows=32)("media").alias("_r")).select(*media.columns, "_r.*")
+    return media.select("*", text_udf(f"struct<{schema}>", start, rows=AT_ONCE)("media").alias("_r")).select(*media.columns, "_r.*")
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
