@@ -15,6 +15,7 @@ table gives an empty result; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
@@ -83,6 +84,9 @@ class PieceCodec:
         self.digits = [str(i) for i in range(n)]
         spelled = set(self.byte_of) | self.control | {self.unk}
         self.shown = {str(i): p.replace(MARK, " ") for i, p in enumerate(self.pieces) if i not in spelled}
+        # no byte below 128 is part of a longer character; a byte for a space would pass for the mark in front
+        self.shown |= {str(i): chr(b) for i, b in self.byte_of.items() if b < 128 and b != 32}
+        self.anchor = next((i for i in normal if self.pieces[i].isascii()), None)
 
     # -- encoding -------------------------------------------------------------------------------------------------
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,7 +211,7 @@ class PieceCodec:
             return ""
         each = ids.split(" ")
         try:
-            text = "".join([self.shown[i] for i in each])
+            text = "".join(map(self.shown.__getitem__, each))
         except KeyError:
             return self.decode(list(map(int, each)))
         return text[1:] if text[:1] == " " else text
@@ -232,6 +236,22 @@ class PieceCodec:
         return "".join(out)
 
 
+    def by_library(self, ids: list[int], block: int = 1000) -> str:
+        """The library's decode(ids). It takes the square of a list's length, so longer lists go in blocks that no run of bytes
+        crosses, each behind a known piece that keeps its first mark."""
+        cuts = [0]
+        for at in range(block, len(ids), block):
+            while at < len(ids) and ids[at] in self.byte_of:
+                at += 1
+            if cuts[-1] < at < len(ids):
+                cuts.append(at)
+        if self.anchor is None:
+            cuts = [0]
+        blocks = [ids[a:b] if not a else [self.anchor, *ids[a:b]] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+        first, *others = self.library.decode(blocks, num_threads=1)
+        return first + "".join([t[len(self.pieces[self.anchor]) :] for t in others])
+
+
 def utf8(raw: bytes) -> str:
     """Decode; each byte that belongs to no character gives one U+FFFD."""
     try:
@@ -240,8 +260,10 @@ def utf8(raw: bytes) -> str:
         return raw[: e.start].decode() + "�" + utf8(raw[e.start + 1 :])
 
 
+@functools.lru_cache(maxsize=1)
 def encoder(path: str, cache: int = CACHE):
-    """A function from texts to (ids as text, count, text that these ids decode to) for each, with its own cache and checks."""
+    """A function from texts to (ids as text, count, text that these ids decode to) for each, with its own cache and checks.
+    A process makes it once; tasks that run in one Python worker share what it has learned."""
     codec = PieceCodec(path)
     halves: list[dict[str, str]] = [{}, {}]  # ids as text; what is used again comes back from the older half
     turn = [0]
@@ -273,31 +295,23 @@ def encoder(path: str, cache: int = CACHE):
         if len(halves[0]) > cache:
             halves[:] = {}, halves[0]
         known, older = halves
-        get, keys, found, new = known.get, [], [], set()
-        for t in texts:
-            ks = codec.split(t)
-            vs = [get(k) for k in ks]
-            if None in vs:
-                for k in {k for k, v in zip(ks, vs, strict=True) if v is None}:
-                    if (v := older.get(k)) is None:
-                        new.add(k)
-                    else:
-                        known[k] = v
-                vs = None
-            keys.append(ks)
-            found.append(vs)
+        keys, new = [codec.split(t) for t in texts], []
+        for k in set().union(*keys).difference(known):
+            if (v := older.get(k)) is None:
+                new.append(k)
+            else:
+                known[k] = v
         if new:
-            learn(list(new), known)
+            learn(new, known)
         out = []
-        for ks, vs in zip(keys, found, strict=True):
-            ids = " ".join(vs if vs is not None else [known[k] for k in ks])
+        for ks in keys:
+            ids = " ".join(map(known.__getitem__, ks))
             out.append((ids, ids.count(" ") + 1 if ids else 0, codec.decode_shown(ids)))
         if texts:
             turn[0] += 1
             probe = turn[0] * 7919 % len(texts)
-            theirs = codec.library.encode([texts[probe]], num_threads=1)
-            # the library's decode takes the square of a list's length
-            if out[probe][0] != " ".join(map(str, theirs[0])) or (len(theirs[0]) < 20_000 and [out[probe][2]] != codec.library.decode(theirs, num_threads=1)):
+            theirs = codec.library.encode([texts[probe]], num_threads=1)[0]
+            if out[probe][0] != " ".join(map(str, theirs)) or out[probe][2] != codec.by_library(theirs):
                 raise ValueError(f"the agenda and the library differ on a text that begins with {texts[probe][:80]!r}")
         return out
 

@@ -76,6 +76,17 @@ def test_sentencepiece_small_cache_and_heap(texts):
             assert codec._heap(symbols) == codec.library.encode(t[:200])
 
 
+def test_decoding_equals_the_library_in_blocks_and_by_byte_ids():
+    codec = sentencepiece_codec.PieceCodec(vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    spelled, plain = list(codec.byte_of), [i for i in range(codec.size) if i not in codec.control]
+    for size in (0, 1, 2, 9, 60, 400):
+        for _ in range(50):
+            ids = [rng.choice(spelled if rng.random() < 0.5 else plain) for _ in range(size)]
+            want = codec.library.decode(ids) if ids else ""
+            assert codec.decode_shown(" ".join(map(str, ids))) == codec.by_library(ids) == codec.by_library(ids, 7) == want
+
+
 def links_by_hand(vecs, labels, threshold):
     n = len(vecs)
     fine = [v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v) and lab is not None for v, lab in zip(vecs, labels)]
