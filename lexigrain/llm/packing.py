@@ -18,6 +18,7 @@ not read. Rows are numbered as they are read: the table must give them in the sa
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -85,31 +86,27 @@ class ByteTokenizer:
         if len(self.known) > self.cache:  # what is used again comes back from the older half
             self.older, self.known = self.known, {}
         known, older = self.known, self.older.get
-        get, out, open_texts, new = known.get, [b""] * len(texts), [], set()
+        out, keyed, new = [b""] * len(texts), {}, []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.common or self.special.search(text):
+            if text and (not self.common or self.special.search(text)):
                 out[i] = self.by_library(text)
-                continue
-            keys = self.split(text)
-            found = [get(k) for k in keys]
-            if None in found or "\0" in text:
-                unknown = {k for k, v in zip(keys, found, strict=True) if v is None}
-                if "\0" in text or any(map(self.touching, unknown)):
-                    keys = ["\0" + c for c in self.chunk.findall(text)]
-                    unknown = {k for k in keys if k not in known}
-                for k in unknown:
-                    if (raw := older(k)) is None:
-                        new.add(k)
-                    else:
-                        known[k] = raw
-                open_texts.append((i, keys))
+            elif text:
+                keyed[i] = self.split(text)
+        asked = set().union(*keyed.values()).difference(known)
+        wrong = {k for k in asked if self.touching(k)}
+        asked -= wrong
+        for i, keys in keyed.items():
+            if "\0" in texts[i] or (wrong and not wrong.isdisjoint(keys)):
+                keyed[i] = ["\0" + c for c in self.chunk.findall(texts[i])]
+                asked |= set(keyed[i]).difference(known)
+        for k in asked:
+            if (raw := older(k)) is None:
+                new.append(k)
             else:
-                out[i] = b"".join(found)
-        self._learn(list(new))
-        for i, keys in open_texts:
-            out[i] = b"".join([known[k] for k in keys])
+                known[k] = raw
+        self._learn(new)
+        for i, keys in keyed.items():
+            out[i] = b"".join(map(known.__getitem__, keys))
         if texts:
             self.turn += 1
             probe = self.turn * 7919 % len(texts)
@@ -121,22 +118,27 @@ class ByteTokenizer:
         return np.array(self.theirs.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        known, runs = self.known, []  # chunks that begin with white space and end otherwise can be encoded in one go
+        known, plain, lined = self.known, [], []  # chunks that begin with white space and end otherwise can be encoded in one go
         for k in new:
-            if k[0:1] == "\0":
+            head = k[0]
+            if head == "\0":
                 known[k] = np.array(self.bpe.encode_ordinary(k[1:]), "<u4").tobytes()
             else:
-                runs.append((k, k if k[0] == "\n" else " " + k))
-        for i in range(0, len(runs), 2000):
-            part = runs[i : i + 2000]
-            joined = "".join([c for _, c in part])
-            ids = np.array(self.bpe.encode_ordinary(joined), "<u4")
-            ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for _, c in part])
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            raw, at = ids.tobytes(), 0
-            for (k, _), to in zip(part, cuts.tolist(), strict=True):
-                known[k] = raw[4 * at : 4 * to]
-                at = to
+                (lined if head == "\n" else plain).append(k)
+        for lead, run in (("", lined), (" ", plain)):
+            for i in range(0, len(run), 2000):
+                part = run[i : i + 2000]
+                ids = np.array(self.bpe.encode_ordinary(lead + lead.join(part)), "<u4")
+                ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + len(lead))
+                cuts = (4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()
+                raw = ids.tobytes()
+                known.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
+
+@functools.lru_cache(maxsize=1)
+def shared_tokenizer(path: str) -> ByteTokenizer:
+    """A process's tokenizer; tasks that run in one Python worker share what it has learned."""
+    return ByteTokenizer(path)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +175,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, length: int, id_col: str,
     kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def start():
-        tokens = ByteTokenizer(tokenizer)
+        tokens = shared_tokenizer(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
 
         def cut(texts):
