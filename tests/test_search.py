@@ -390,3 +390,34 @@ def test_books_among_files(spark, tmp_path, capsys):
     assert out[0].endswith("a.fb2 -- 0.3") and out[1].endswith("b.txt -- 0.1")
     assert main(["--from", str(tmp_path / "i2"), "-x", "hel*", "-x", "hello fictionbook"]) == 0
     assert [x.rsplit("/", 1)[1] for x in capsys.readouterr().out.splitlines()] == ["a.fb2", "b.txt", "b.txt"]
+
+
+TEXTS_OF_PAIRS = {
+    "a word in every row": {0: "all", 20: "all b c c", 40: "all b", 1: "all c d", 2: "ALL b, b e", 3: "all"},
+    "rows without words, ids or partners": {0: "b c", 20: "", 40: None, 60: "z", -20: "c", 1: "b b", 2: "?", 3: "c d b", None: "b c z"},
+}
+
+
+@pytest.mark.parametrize("texts", TEXTS_OF_PAIRS.values(), ids=TEXTS_OF_PAIRS)
+@pytest.mark.parametrize("sizes", [(1024, 400_000), (2, 400_000), (1024, 3)])
+def test_cosine_pairs_by_blocks_equal_their_sql(spark, tmp_path, monkeypatch, texts, sizes):
+    """Vectors of norm 0 are in no pair there."""
+    from oracle import difference
+
+    from lexigrain.operators import cosine_blocks
+    from lexigrain.queries import ORACLE_SQL, QUERIES
+
+    for name, value in zip(("BLOCK_ROWS", "BLOCK_ENTRIES"), sizes, strict=True):
+        monkeypatch.setattr(cosine_blocks, name, value)
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert difference(spark, QUERIES["cosine_pairs"], ORACLE_SQL["cosine_pairs"], str(tmp_path)) == ""
+
+
+def test_cosine_pairs_make_no_row_for_each_shared_word(spark, tmp_path):
+    """At 0.1 GB these would be 2.3 billion rows, to be summed by pair."""
+    from lexigrain.queries import QUERIES
+
+    spark.createDataFrame([(i, "a b c") for i in range(50)] + [(99, "d")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["cosine_pairs"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 3 * 50 and "MapInArrow" in plan and "Aggregate" not in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
