@@ -4,9 +4,11 @@ Method: the byte-position inverted index of ``simhash`` with count filtering, at
 Two sets of Jaccard similarity j have a cosine of about 2j / (1 + j), so at 0.8 a fingerprint bit differs with probability 0.15
 and 10 of 64 bits do, which no 64-bit index guarantees to find. Fingerprints here have 64 positional bytes. The index is keyed by
 runs of ``width`` positional bytes (1 while lists of single bytes stay short, then 2 or 3); ``index_plan`` takes as many keys as
-leave a pair at the threshold out with probability below MISS. In a list a pair's differing bits among the first CHECKED
-bytes are counted and pairs beyond what a pair at the threshold has with near certainty are dropped. What is left is verified
-exactly, by the shingle sets themselves; only that decides.
+leave a pair at the threshold out with probability below MISS. Count filtering: of pairs that meet in a list all shared positional
+bytes are tallied, and those that reach ``least_shared`` are kept. No count is certain at this radius; it is the largest that a pair at
+the threshold falls short of with probability below SHORT, whatever the sizes of its sets. The bits of what is kept are verified: pairs
+beyond ``most_bits``, which a pair at the threshold has with near certainty at most, are dropped. What is left is verified exactly, by
+the shingle sets themselves; only that decides.
 
 Only distinct word sequences are indexed, so copies cost nothing. A list's candidate links are reduced to a star per connected
 part in the task. Verification works within candidate components: a component's texts are compared by their sets, in one task or in
@@ -25,6 +27,7 @@ is kept; an empty table gives an empty result. Columns of any name are kept. Who
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +38,11 @@ from ..storage import scratch
 from .common import attach, bounded_batches, checkpoint, free, grouped_blocks, join_small, text_udf, whole_groups
 from .components import connected_components
 
-#: Positional bytes of a fingerprint, and those whose bits are counted in a list.
+#: Positional bytes of a fingerprint, and the fewest that are keys where single bytes are.
 BYTES, CHECKED = 64, 24
-#: Chance that no list has a pair at the threshold, and how far beyond its mean a pair's differing bits may lie, in deviations.
-MISS, SURE = 0.005, 4.5
+#: Chance that no list has a pair at the threshold, and that it shares fewer bytes than the tally asks for; how far beyond its mean a
+#: pair's differing bits may lie, in deviations.
+MISS, SHORT, SURE = 0.005, 0.001, 4.5
 #: Rows a list should have at most, and rows of a list compared in one task.
 LIST_AIM, LIST_ROWS = 2048, 8192
 #: Weight of a component's texts (one each, and one for every 4,096 shingles) up to which one task verifies it, and how many times
@@ -63,12 +67,38 @@ def index_plan(rows: int, similarity: float) -> tuple[int, int]:
     return width, max(CHECKED, keys) if width == 1 else keys
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits among the CHECKED bytes up to which a pair is a candidate."""
-    p, n = bit_difference(similarity), 8 * CHECKED
+@cache
+def worst_difference(similarity: float, size: int = 24) -> float:
+    """Probability that a bit differs for the pair of sets at this similarity where it is largest: sets of few shingles, counted
+    out up to ``size``, differ more than large ones (of 4 and 5 with 4 in common, 3/16 at 0.8)."""
+    ones = lambda n, least: sum(math.comb(n, k) for k in range(max(least, 0), n + 1)) / 2**n
+    out = bit_difference(similarity)
+    for a in range(1, size + 1):
+        for b in range(a, size + 1):
+            both = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if both <= a:
+                p = 0.0
+                for s in range(both + 1):  # ones among the common shingles; a bit is set in over half
+                    x, y = ones(a - both, a // 2 + 1 - s), ones(b - both, b // 2 + 1 - s)
+                    p += math.comb(both, s) / 2**both * (x * (1 - y) + y * (1 - x))
+                out = max(out, p)
+    return out
+
+
+def most_bits(similarity: float, size: int = CHECKED) -> int:
+    """Differing bits among ``size`` bytes up to which a pair is a candidate."""
+    p, n = worst_difference(similarity), 8 * size
     return math.ceil(n * p + SURE * math.sqrt(n * p * (1 - p)))
 
 
+def least_shared(similarity: float) -> int:
+    """Shared positional bytes from which a pair that meets in a list is a candidate."""
+    same, short, least = (1 - worst_difference(similarity)) ** 8, 0.0, 0
+    while (short := short + math.comb(BYTES, least) * same**least * (1 - same) ** (BYTES - least)) < SHORT:
+        least += 1
+    return least
+
+
 def key_bytes(width: int, keys: int) -> np.ndarray:
     """(keys x width) positions of each key's bytes: runs at growing strides, so that each byte is in many different runs."""
     out = []
@@ -171,20 +201,21 @@ def shingle_sets(df: DataFrame, text_col: str, words: int) -> DataFrame:
 # -- candidates --------------------------------------------------------------------------------------------------------
 
 
-def _stars(fp: np.ndarray, most: int, own: np.ndarray | None) -> list[tuple[int, int]]:
-    """(member, hub) places that connect all rows of a list within ``most`` bits; with ``own`` only rows of different blocks are
-    compared. Rows are taken up from one to its neighbours and on to theirs."""
+def _stars(fp: np.ndarray, least: int, most: int, own: np.ndarray | None) -> list[tuple[int, int]]:
+    """(member, hub) places that connect all rows of a list that share ``least`` bytes and are within ``most`` bits; with ``own``
+    only rows of different blocks are compared. Rows are taken up from one to its neighbours and on to theirs."""
     made, place, rest = [], np.arange(len(fp)), np.ascontiguousarray(fp.T)
     while len(place) > 1:
         fresh, place, rest = [int(place[0])], place[1:], rest[:, 1:]
         while fresh and len(place):
             hub = fresh.pop()
-            differ = np.bitwise_count(rest[0] ^ fp[hub, 0])
-            for k in range(1, len(rest)):
-                differ += np.bitwise_count(rest[k] ^ fp[hub, k])
-            near = differ <= most
+            one = fp[hub][:, None]
+            tally = np.add.reduce((rest == one).view(np.uint8), axis=0, dtype=np.uint8)
+            near = tally >= least
             if own is not None:
                 near &= own[place] != own[hub]
+            kept = np.flatnonzero(near)
+            near[kept] = np.bitwise_count(rest[:, kept] ^ one).sum(0, dtype=np.int64) <= most
             if near.any():
                 found = place[near].tolist()
                 made += [(m, hub) for m in found]
@@ -193,48 +224,48 @@ def _stars(fp: np.ndarray, most: int, own: np.ndarray | None) -> list[tuple[int,
     return made
 
 
-def _short_pairs(fp: np.ndarray, owner: np.ndarray, most: int) -> np.ndarray:
-    """Pairs of places in the same list (rows of one owner are adjacent) within ``most`` bits."""
+def _short_pairs(fp: np.ndarray, owner: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Pairs of places in the same list (rows of one owner are adjacent) that share ``least`` bytes and are within ``most`` bits."""
     found = []
     for shift in range(1, len(fp)):
         at = np.flatnonzero(owner[shift:] == owner[:-shift])
         if not len(at):
             break
-        near = np.bitwise_count(fp[at] ^ fp[at + shift]).sum(1, dtype=np.int64) <= most
-        found.append(np.stack([at[near], at[near] + shift], 1))
+        at = at[(fp[at] == fp[at + shift]).sum(1) >= least]
+        at = at[np.bitwise_count(fp[at] ^ fp[at + shift]).sum(1, dtype=np.int64) <= most]
+        found.append(np.stack([at, at + shift], 1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
 def candidate_links(sketched: DataFrame, similarity: float, width: int, keys: int, list_rows: int = LIST_ROWS) -> DataFrame:
     """(u, v) rows of distinct texts, from (row, fp): enough to connect all candidates that meet in a list."""
-    runs, most = key_bytes(width, keys), most_bits(similarity)
+    runs, least, most = key_bytes(width, keys), least_shared(similarity), most_bits(similarity, BYTES)
 
     def cut(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             whole = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1).astype(np.int64)
-            head = pa.array([r[:CHECKED] for r in b.column("fp").to_pylist()], pa.binary())
             for k, run in enumerate(runs):
                 key = np.full(b.num_rows, k, np.int64)
                 for at in run:
                     key = (key << 8) | whole[:, at]
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("row"), head], ["key", "row", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("row"), b.column("fp")], ["key", "row", "fp"])
 
     index = sketched.select("row", "fp").mapInArrow(cut, "key long, row long, fp binary")
     dealt = grouped_blocks(index, ["key"], F.col("row"), list_rows)
 
     def link(batches):
         for t, cuts in whole_groups(batches, ["key", "blk_a", "blk_b"]):
-            fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+            fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             row, sizes = t.column("row").to_numpy(), np.diff(cuts)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             short = np.flatnonzero((sizes <= 64)[owner])
-            pairs = [short[_short_pairs(fp[short], owner[short], most)]] if len(short) else []
+            pairs = [short[_short_pairs(fp[short], owner[short], least, most)]] if len(short) else []
             for k in np.flatnonzero(sizes > 64):
                 a, b = cuts[k], cuts[k + 1]
                 cross = t.column("blk_a")[a].as_py() != t.column("blk_b")[a].as_py()
-                if made := _stars(fp[a:b], most, t.column("own").to_numpy()[a:b] if cross else None):
+                if made := _stars(fp[a:b], least, most, t.column("own").to_numpy()[a:b] if cross else None):
                     pairs.append(np.array(made) + a)
             pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
             if len(pairs):
@@ -397,7 +428,7 @@ def text_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, width: i
     """(row, first) from (id, row, text): for every row the row that stands for its group, the one with the smallest id. Rows must
     be numbered once for all, as in a stored table."""
     plan = index_plan(df.count() if width is None else LIST_AIM * 256 ** (width - 1) + (width > 1), similarity)
-    docs = checkpoint(sketches(df, words, BYTES if plan[0] > 1 else CHECKED))
+    docs = checkpoint(sketches(df, words, BYTES))
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
     # copies of a word sequence are one text from here on; combined before the shuffle, however many there are
     texts = checkpoint(docs.groupBy("digest").agg(F.min(order).alias("o"), F.count("*").alias("_n"), F.first("n").alias("n"), F.first("fp").alias("fp")).withColumn("row", F.col("o.row")))

@@ -101,6 +101,28 @@ def test_index_plan_and_bounds():
     assert missed <= 6 and far == 0
 
 
+def test_shared_positional_bytes_are_tallied_before_bits_are_verified():
+    least, most = similar_text.least_shared(0.8), similar_text.most_bits(0.8, similar_text.BYTES)
+    assert similar_text.worst_difference(0.8) == 3 / 16 and least == 4 and most < 256 - 8 * 11  # unrelated texts: 256, deviation 11
+    base = np.arange(64, dtype=np.uint8)
+    few = base ^ np.r_[[0] * (least - 1), [1] * (65 - least)].astype(np.uint8)  # 61 bits, in one byte each
+    enough = base ^ np.r_[[0] * least, [1] * (64 - least)].astype(np.uint8)
+    far = base ^ np.r_[[0] * 32, [255] * 32].astype(np.uint8)
+    for other, linked in ((few, False), (enough, True), (far, False)):
+        fp = np.stack([base, other])
+        assert bool(similar_text._stars(fp, least, most, None)) is linked
+        assert bool(len(similar_text._short_pairs(fp, np.zeros(2, int), least, most))) is linked
+    r = random.Random(14)
+    for sizes, allowed in (((160, 20, 20), 2), ((4, 0, 1), 8)):  # pairs at the similarity itself
+        short = far = 0
+        for _ in range(2000):
+            both, one, two = ([r.getrandbits(64) for _ in range(k)] for k in sizes)
+            a, b = (np.frombuffer(similar_text.fingerprint(np.array(sorted(x), np.uint64)), np.uint8) for x in (both + one, both + two))
+            short += int((a == b).sum()) < least
+            far += int(np.bitwise_count(a ^ b).sum()) > most
+        assert short <= allowed and far <= 2
+
+
 def test_pipeline_stages_of_odd_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, language string, toxicity string, row string, spans string"
     rows = [(1, "ab cd", "en", "s", 5, "1", "2", "3", "4"), (1, "ab cd", "en", "s", 5, "1", "2", "3", "4"), (None, None, None, None, None, None, None, None, None), (2, "", None, "s", 0, "1", "2", "3", "4"), (3, "mail a@b.c " * 30_000, "en", "s", 9, "1", "2", "3", "4")]
